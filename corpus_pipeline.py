@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bagminhash, language, sentencepiece_codec, toxicity
+from lodestone.llm import bagminhash, decontam, language, sentencepiece_codec, toxicity
 from lodestone.llm.common import fresh, table
 
 
@@ -26,6 +26,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return bagminhash.keep_one(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other numbers and names, go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, beside its columns."""
     return sentencepiece_codec.encode(docs)
@@ -35,6 +40,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("language_id", keep_known_languages),
     ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
     ("sentencepiece", encode),
 ]
 

@@ -12,15 +12,18 @@ one shingle); documents with at least SIMILARITY are linked, and a class is what
 2. Identical multisets collapse first, by a 128-bit key, into the smallest doc_id (map-side combined).
 3. Bands. ROWS components make a band key; BANDS of them catch a pair at the threshold but for
    (1 - 0.8^4)^20 = 3e-5, and more similar ones still more surely.
-4. Links. A bucket is never expanded into its pairs. In each round it offers one member, its hub, to the
-   members that are not yet in the hub's component; pairs are distinct over buckets and checked exactly on
-   the multisets. After the first two rounds only members of unresolved buckets take part; rounds go on,
-   with another hub each time, until a bucket has no member left that was not a hub or is not in one
-   component with the rest. So every pair that shares a band is checked or already connected.
+4. Links. First each bucket offers its smallest member, the hub, to all others: one pair a member, distinct
+   over buckets, checked exactly on the multisets. Only buckets whose members these links leave in more than
+   one component go on. Of those with at most SMALL members the remaining pairs are checked one by one. The
+   members of a larger one are dealt into blocks of about BLOCK; each pair of blocks is one group, small
+   whatever the bucket's size, in which a matrix product counts what all pairs have in common and which
+   answers with a spanning forest. So every pair that shares a band is checked or already connected, and no
+   group's pairs are ever rows.
 5. Components by smallest label with pointer jumping, on tables in the shared folder.
 
 Hot keys: copies are gone before banding; buckets are joined to their hub by plain equi-joins whose large
-side adaptive execution may split, and hubs come from map-side combined minima. Nothing is collected.
+side adaptive execution may split, and hubs come from map-side combined minima. Nothing is collected. A
+bucket of n mutually unlinked texts costs n^2 / BLOCK rows of block input, spread over as many groups.
 
 Defined cases: null and empty texts are alone in their class; texts without words but with other
 characters match only equal texts; rows that repeat a doc_id share its class; null doc_ids are left out.
@@ -41,10 +44,11 @@ from lodestone.llm.words import mix, raw, tokens, windows
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
+#: Largest bucket whose pairs are checked singly, and members of a block of a larger one.
+SMALL, BLOCK = 8, 256
 _G = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Points drawn at once, over all processes that still run.
-_T0 = __import__("time").time()
 DRAW = 1 << 16
 
 
@@ -164,8 +168,6 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set binary) for the documents with these ids: the multiset as sorted hashes of (shingle, occurrence)."""
-    from pyspark.sql import Window  # noqa: F401
-
     wanted = docs.select("doc_id", "text").join(sized(ids), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +216,6 @@ def components(links: DataFrame) -> DataFrame:
         low = labels.join(heard, F.col("node") == F.col("a")).select("node", "label", F.least("label", "heard").alias("low"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("its"))
         step = written(low.join(jump, F.col("low") == F.col("at"), "left").select("node", "label", F.least("low", F.coalesce("its", "low")).alias("new")), "labels")
-        print(__import__("time").time()-_T0,"cc",flush=True)
         changed = not step.where("new < label").isEmpty()
         discard(labels)
         labels = step.select("node", F.col("new").alias("label"))
@@ -223,6 +224,56 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _forest(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the links between these documents connect (within a side only if there is one side)."""
+    n = len(nodes)
+    size = np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    common = np.zeros((n, n), np.float32)
+    if len(column):
+        column = np.unique(column, return_inverse=True)[1]
+        for at in range(0, column.max() + 1, 8192):  # columns are in order
+            own = slice(np.searchsorted(column, at), np.searchsorted(column, at + 8192))
+            m = np.zeros((n, 8192), np.float32)
+            m[owner[own], column[own] - at] = 1
+            common += m @ m.T
+    link = common >= SIMILARITY * (size[:, None] + size[None, :] - common)
+    if len(np.unique(side)) > 1:
+        link &= side[:, None] != side[None, :]
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root, np.where(link, root[None, :], n).min(axis=1))
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    other = np.flatnonzero(root != np.arange(n))
+    return nodes[root[other]], nodes[other]
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Links (a, b) within large buckets, from rows (key, n, node, set)."""
+    nb = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("nb")).cast("int"))
+    dealt = dealt.select("key", "node", "own", "set", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "set")
+
+    def run(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
+        a, b = _forest(node, group.column("own").to_numpy(), sets)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: one row for each row of ``docs`` with a doc_id; class_id is the smallest doc_id of its class."""
     signed = written(signatures(docs), "signed")
@@ -232,30 +283,41 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     discard(signed)
     buckets = members.where("bands is not null").select(F.explode("bands").alias("key"), "node")
-    shared = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    live = written(buckets.join(shared, "key"), "live")
-    links = tested = None
-    labels: DataFrame | None = None
-    rounds = 0
-    while True:
-        if labels is None:
-            pairs = live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            now = live.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-            # another hub each round: the first in an order that depends on the round
-            turn = F.struct(F.xxhash64(F.col("node"), F.lit(rounds)).alias("h"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-            open_ = now.groupBy("key").agg(F.min(turn).alias("t"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "t.hub", "t.hub_label")
-            pairs = now.join(open_, "key").where("label <> hub_label").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        n = pairs.count()
-        print(__import__("time").time()-_T0,"ROUND", rounds, "pairs", n, flush=True)
-        if not n and rounds:
-            break
-        found = _linked(pairs, docs)
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        print("links", found.count(), flush=True)
-        labels = components(links)
-        rounds += 1
+    shared = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
+    live = written(buckets.join(shared.select("key", "hub", "n"), "key"), "live")
+    pairs = written(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = _linked(pairs, docs)
+    labels = components(links)
+    now = live.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
+    unclear = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    now = written(now.join(unclear, "key"), "unclear")
+    discard(live)
+    small = now.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("m"))
+    each = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    rest = written(small.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _linked(rest, docs)
+    large = now.where(F.col("n") > SMALL)
+    sets = written(_sets(docs, large.select(F.col("node").alias("doc_id")).distinct()).dropDuplicates(["id"]), "sets")
+    block = written(_blocks(large.join(sets, F.col("node") == F.col("id")).select("key", "n", "node", "set")), "links")
+    found = links.union(more).union(block)
+    if not (more.isEmpty() and block.isEmpty()):
+        labels = components(found)
+    for x in (pairs, rest, now, sets, found):
+        discard(x)
     return members.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that have a near copy with a smaller doc_id; rows without doc_id stay.
+
+    Rows that repeat both doc_id and text are copies too: one of them stays.
+    """
+    found = written(classes(docs), "classes")
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    twice = sized(twice)
+    again = docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
