@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Broadcast joins are used up to this many rows of a narrow table; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of a batch that goes to Python, where the session has the default: texts and multisets are wide rows.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make this package importable on the executors (once for each context).
+    """Make this package importable on the executors (once for each context), and keep batches small.
 
     Where PYTHONPATH already has it (a cluster image, a test run) nothing is sent.
     """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not getattr(sc, "_lodestone_sent", False):
         if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
             import tempfile
