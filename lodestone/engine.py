@@ -20,7 +20,7 @@ from lodestone.schema import Schema
 from lodestone.sources.storage import Storage, numbered
 
 #: After so many statements a table's lineage is cut by a checkpoint in spark.checkpoint.dir.
-STATEMENTS = 12
+STATEMENTS = 4
 
 
 class Select:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.arith import compile_arithmetic, names
-from lodestone.operators.select import SEQ, Query, matching, page
+from lodestone.operators.select import SEQ, Query, page
 from lodestone.plans.conditions import Conditions, fold, literal
 from lodestone.schema import Schema
 
@@ -67,20 +67,21 @@ class Update:
         return self
 
 
-def changed_rows(rows: DataFrame, schema: Schema, update: Update, now: Column | None = None) -> DataFrame:
-    """The rows after the update; hidden columns stay."""
+def changed_rows(rows: DataFrame, schema: Schema, update: Update, now: Column | None = None, hit: str | None = None) -> DataFrame:
+    """The rows after the update, or those of them in which the boolean column ``hit`` is true; hidden columns stay."""
     types = schema.types
-    guards, active = 0, None
+    guards, active = 0, hit
     out = rows
     for kind, target, value in update.steps:
         columns = {c: F.col(c) for c in schema.names}
         if kind == "guard":
             active = f"_if{guards}"
             guards += 1
-            out = out.withColumn(active, fold(value.items, columns, types, False))
+            test = fold(value.items, columns, types, False)
+            out = out.withColumn(active, test if hit is None else F.col(hit) & test)
             continue
         if kind == "end":
-            active = None
+            active = hit
             continue
         c = schema[target]
         if kind == "set":
@@ -124,12 +125,14 @@ def delete(df: DataFrame, schema: Schema, q: Query) -> DataFrame:
 def update(df: DataFrame, schema: Schema, q: Query, what: Update, now: Column | None = None) -> DataFrame:
     """The table with the chosen rows changed, in one pass unless a limit picks them."""
     if q.limit < 0 and q.begin <= 0:
-        rows = matching(df, schema, q.where)
-        after = changed_rows(rows, schema, what, now).select(*df.columns)
-        return after if q.where is None else delete(df, schema, q).unionByName(after)
-    rows = chosen(df, schema, q)
-    after = changed_rows(rows, schema, what, now).select(*df.columns)
-    return df.join(rows.select(SEQ), SEQ, "left_anti").select(*df.columns).unionByName(after)
+        if q.where is None:
+            return changed_rows(df, schema, what, now).select(*df.columns)
+        columns = {c: F.col(c) for c in schema.names}
+        marked = df.withColumn("_hit", fold(q.where.items, columns, schema.types, True))
+    else:
+        ids = chosen(df, schema, q).select(F.col(SEQ).alias("_id"), F.lit(True).alias("_hit"))
+        marked = df.join(ids, F.col(SEQ) == F.col("_id"), "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    return changed_rows(marked, schema, what, now, "_hit").select(*df.columns)
 
 
 def aligned(rows: DataFrame, schema: Schema, now: Column | None = None) -> DataFrame:
