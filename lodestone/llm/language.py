@@ -34,7 +34,7 @@ BITS = 16
 FIT_ROWS = 4_000
 #: More languages than this are an error, so that the table of likelihoods stays small.
 LANGUAGES = 200
-EVIDENCE, MARKUP, ADDRESS, STRENGTH, LEAST = 40.0, 0.9, 0.8, 20.0, 0.6
+EVIDENCE, MARKUP, ADDRESS, STRENGTH, LEAST = 40.0, 0.9, 0.8, 20.0, 0.5
 #: Country suffixes and the language most used there.
 SUFFIX = {
     "at": "de", "de": "de", "ch": "de", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "fr": "fr", "be": "fr",
