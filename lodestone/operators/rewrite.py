@@ -151,17 +151,27 @@ def aligned(rows: DataFrame, schema: Schema, now: Column | None = None) -> DataF
     return rows.select(*out, *([F.col(SEQ)] if SEQ in rows.columns else []))
 
 
+#: Row numbers are cut into blocks of 2^BLOCK_BITS; only sums of blocks meet in one task.
+BLOCK_BITS = 16
+
+
 def auto_increment(rows: DataFrame, column: str, following: int) -> DataFrame:
     """Nulls get numbers in order of arrival: one more than all numbers before, given or made.
 
-    The window has one partition; it sees an insert's rows only, in which order is what numbers mean.
+    A number v given behind k nulls makes the counter v + 1 there, hence v + 1 - k + g at g nulls. So within
+    a block the running number of nulls and the running maximum of v + 1 - k are enough, and between blocks
+    their totals, of which there is a row for each 65536 row numbers.
     """
     if not column:
         return rows
-    order = Window.orderBy(SEQ)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nulls = F.sum(F.when(F.col(column).isNull(), 1).otherwise(0)).over(upto)
-    # a number v given behind k nulls makes the counter v + 1 there, hence v + 1 - k + g at g nulls
-    lift = F.max(F.when(F.col(column).isNotNull(), F.col(column) + 1 - F.col("_nulls"))).over(upto)
-    out = rows.withColumn("_nulls", nulls).withColumn("_lift", F.greatest(F.lit(following), F.coalesce(lift, F.lit(following))))
-    return out.withColumn(column, F.coalesce(F.col(column), F.col("_lift") + F.col("_nulls") - 1)).drop("_nulls", "_lift")
+    own = Window.partitionBy("_block").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    c, start = F.col(column), F.lit(following).cast("long")
+    out = rows.withColumn("_block", F.shiftright(SEQ, BLOCK_BITS))
+    out = out.withColumn("_nulls", F.sum(F.when(c.isNull(), 1).otherwise(0)).over(own))
+    out = out.withColumn("_lift", F.max(F.when(c.isNotNull(), c + 1 - F.col("_nulls"))).over(own))
+    blocks = out.groupBy(F.col("_block").alias("_b")).agg(F.max("_nulls").alias("_n"), F.max("_lift").alias("_l")).withColumnRenamed("_b", "_block")
+    blocks = blocks.withColumn("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_base", F.col("_p") + F.greatest(start, F.max(F.col("_l") - F.col("_p")).over(before))).select("_block", "_base")
+    made = F.greatest("_base", "_lift") + F.col("_nulls") - 1
+    return out.join(blocks, "_block").withColumn(column, F.coalesce(c, made)).select(*rows.columns)

@@ -99,6 +99,20 @@ def test_auto_increment_and_defaults(spark):
     assert e.select("id, at").from_("t").where(where("id").is_equal(14)).fetch()[0].at is None  # numbers aren't given twice
 
 
+def test_auto_increment_over_blocks(spark, monkeypatch):
+    from lodestone.operators import rewrite
+
+    rng, following, want = random.Random(4), 5, []
+    given = [None if rng.random() < 0.7 else rng.randrange(60) for _ in range(200)]
+    for v in given:
+        want.append(following if v is None else v)
+        following = max(following, want[-1] + 1)
+    rows = spark.createDataFrame(list(enumerate(given)), "_seq bigint, id bigint")
+    monkeypatch.setattr(rewrite, "BLOCK_BITS", 3)
+    got = rewrite.auto_increment(rows, "id", 5).orderBy("_seq").collect()
+    assert [r.id for r in got] == want
+
+
 def family(spark, on_delete, on_update=RESTRICT, required=False):
     e = Engine(spark).add_database("main")
     e.create_table("users", Schema().column("username", "CHAR", 15, primary=True).column("age", "INT", default=18))
