@@ -251,8 +251,8 @@ class Engine:
         for t, df in after.items():
             db.ages[t] = db.ages.get(t, 0) + 1
             if db.ages[t] % STATEMENTS == 0:
-                if not self.spark.conf.get("spark.checkpoint.dir", None):
-                    self.spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+                if self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():  # the cluster names none, as in tests
+                    self.spark.sparkContext.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
                 df = df.checkpoint()
             db.layers[-1][1][t] = df
             db.dirty.add(t)
