@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready, sized
+from lodestone.llm.common import ready, sized, written
 from lodestone.llm.words import CHUNK, raw
 
 BITS = 16
@@ -142,7 +142,7 @@ def host_priors(scored: DataFrame, model: Languages) -> DataFrame:
     """(__domain, __host, __prior array<double>): shares of languages by host, smoothed by domain and everything."""
     best = F.when(F.col("__n") > 0, F.array_position("__ll", F.array_max("__ll")))
     each = [F.sum(F.when(best == k + 1, 1.0).otherwise(0.0)).alias(f"c{k}") for k in range(len(model.names))]
-    hosts = scored.groupBy("__domain", "__host").agg(*each)
+    hosts = written(scored.groupBy("__domain", "__host").agg(*each), "hosts")  # one pass over the texts for all that follows
     add = [F.sum(f"c{k}") for k in range(len(model.names))]
     domains = hosts.groupBy(F.col("__domain").alias("__d")).agg(F.array(*add).alias("__dc"))
     whole = hosts.agg(F.array(*(F.coalesce(x, F.lit(0.0)) for x in add)).alias("__all")).first()["__all"]
