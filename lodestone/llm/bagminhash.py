@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     else:
                         key[i] = np.array([own[i], -1]).astype(np.int64).view(np.uint64)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sign(row, element, count, n)).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                bands = pa.compute.if_else(pa.array(~bare), bands, pa.scalar(None, bands.type))
+                bands = pc.if_else(pa.array(~bare), bands, pa.scalar(None, bands.type))
                 yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.ascontiguousarray(key[:, k]).view(np.int64)) for k in (0, 1)), bands], ["doc_id", "k1", "k2", "bands"])
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
