@@ -31,6 +31,7 @@ TARGET_BYTES = 64 << 20
 FANOUT = 4
 SMALLEST = 64 << 10
 GROUPS = 64
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 
 
 class Conflict(Exception):
@@ -143,7 +144,13 @@ class ShardStore:
             groups = groups[:GROUPS]
             each = [self.spark.read.schema(self.schema).parquet(*(x["file"] for x in g)).coalesce(1) for g in groups]
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            reduce(DataFrame.unionAll, each).write.parquet(folder)
+            # a union of single partitions may be planned as one partition; here each group keeps its own
+            before = self.spark.conf.get(UNION_PARTITIONING, None)
+            self.spark.conf.set(UNION_PARTITIONING, "false")
+            try:
+                reduce(DataFrame.unionAll, each).write.parquet(folder)
+            finally:
+                self.spark.conf.unset(UNION_PARTITIONING) if before is None else self.spark.conf.set(UNION_PARTITIONING, before)
             add, remove = self._shards(folder), [x for g in groups for x in g]
 
             def swap(now: dict, add=add, remove=remove) -> dict:
