@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ready, sized, written
-from lodestone.llm.words import CHUNK, raw
+from lodestone.llm.words import raw
 
 BITS = 16
+#: Bytes of text looked at together; the work space of a worker is about 50 times this.
+CHUNK = 1 << 18
 FIT_ROWS = 4_000
 #: More languages than this are an error, so that the table of likelihoods stays small.
 LANGUAGES = 200
@@ -44,7 +46,7 @@ SUFFIX = {
 _letter = np.zeros(256, bool)
 _letter[65:91] = _letter[97:123] = _letter[128:] = True
 #: Letters folded, every other byte a space.
-_folded = np.where(_letter, np.arange(256), 32)
+_folded = np.where(_letter, np.arange(256), 32).astype(np.uint32)
 _folded[65:91] += 32
 
 
@@ -68,12 +70,12 @@ def _trigrams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
             end = min(at + CHUNK + 2, hi) if j == i + 1 else hi
             b = data[at:end]
             if len(b) < 3:
-                yield i, j - i, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                yield i, j - i, np.zeros(0, np.uint32), np.zeros(0, np.int32)
                 continue
-            row = np.repeat(np.arange(j - i), np.diff(np.clip(offsets[i : j + 1], at, end)))
+            row = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(np.clip(offsets[i : j + 1], at, end)))
             x, lone = _folded[b], ~_letter[b]
             ok = (row[:-2] == row[2:]) & ~(lone[1:-1] & (lone[:-2] | lone[2:]))
-            grams = (((x[:-2] * 131 + x[1:-1]) * 131 + x[2:]) * 2654435761 >> 11) & ((1 << BITS) - 1)
+            grams = (((x[:-2] * 131 + x[1:-1]) * 131 + x[2:]) * np.uint32(2654435761) >> 11) & ((1 << BITS) - 1)
             yield i, j - i, grams[ok], row[:-2][ok]
         i = j
 
@@ -88,11 +90,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = np.array(batch.column(1).to_pylist(), dtype=object)
+            own = batch.column(1).dictionary_encode()
+            place = own.indices.to_numpy()
             for first, _, grams, row in _trigrams(batch.column(0)):
-                own = names[first + row]
-                for x in set(own):
-                    counts[x] = counts.get(x, 0) + np.bincount(grams[own == x], minlength=1 << BITS)
+                at = place[first + row]
+                for k, x in enumerate(own.dictionary.to_pylist()):
+                    counts[x] = counts.get(x, 0) + np.bincount(grams[at == k], minlength=1 << BITS)
         for x, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], ["lang", "gram", "n"])
@@ -117,6 +120,7 @@ def text_evidence(rows: DataFrame, model: Languages, text: str = "__text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = sent.value
+        columns = np.ascontiguousarray(table.T)
         for batch in batches:
             total, count = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows, np.int64)
             for first, n, grams, row in _trigrams(batch.column(len(keep))):
@@ -125,7 +129,8 @@ def text_evidence(rows: DataFrame, model: Languages, text: str = "__text") -> Da
                 if len(grams):
                     full = np.flatnonzero(each)
                     starts = (np.cumsum(each) - each)[full]
-                    total[first + full] += np.add.reduceat(table[grams], starts, axis=0, dtype=np.float64)
+                    for k, one in enumerate(columns):
+                        total[first + full, k] += np.add.reduceat(one[grams], starts, dtype=np.float64)
             total *= (EVIDENCE / (EVIDENCE + count))[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(names), pa.int32()), pa.array(total.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(count)], [*keep, "__ll", "__n"])
@@ -160,11 +165,11 @@ def _agrees(said: Column, names: Column, n: int, trust: float) -> Column:
     return F.when(said.isNotNull() & F.array_contains(names, said), one).otherwise(F.transform(names, lambda x: F.lit(0.0)))
 
 
-def identify(rows: DataFrame, model: Languages, text: Column, host: Column | None = None, domain: Column | None = None, markup: Column | None = None, address: Column | None = None) -> DataFrame:
-    """All columns of ``rows``, then language string, confidence double, rejected boolean."""
+def identify(rows: DataFrame, model: Languages, text: Column, host: Column | None = None, domain: Column | None = None, markup: Column | None = None, address: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``rows`` (all), then language string, confidence double, rejected boolean."""
     none = F.lit(None).cast("string")
     host, domain, markup, address = (none if c is None else c for c in (host, domain, markup, address))
-    keep = [c for c in rows.columns if c not in ("language", "confidence", "rejected")]
+    keep = [c for c in rows.columns if c not in ("language", "confidence", "rejected")] if keep is None else keep
     if not model.names:
         return rows.select(*keep, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
     base = rows.select(*keep, F.coalesce(domain, F.lit("")).alias("__domain"), F.coalesce(host, F.lit("")).alias("__host"), markup.alias("__markup"), address.alias("__address"), text.alias("__text"))

@@ -51,9 +51,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page and every document; of a document only its text and its source, as the host, are evidence."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = language.fit(docs)
-    a = language.identify(docs.select("doc_id", "source", "text"), model, F.col("text"), host=F.col("source"))
+    a = language.identify(docs.select("doc_id", "source", "text"), model, F.col("text"), host=F.col("source"), keep=["doc_id"])
     parts = language.page_parts(F.col("url"), F.col("html"))
-    b = language.identify(pages.select("page_id", "url", "html"), model, **parts)
+    b = language.identify(pages.select("page_id", "url", "html"), model, **parts, keep=["page_id"])
     out = ["language", "confidence", "rejected"]
     none = F.lit(None).cast("bigint")
     return a.select("doc_id", none.alias("page_id"), *out).unionByName(b.select(none.alias("doc_id"), "page_id", *out))
