@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What the format takes off the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
-CACHE = 200_000
+CACHE = 400_000
 #: Longer parts are segmented anew each time, so that the cache stays small.
 CACHED_CHARS = 64
 
@@ -97,7 +98,9 @@ class Segmenter:
         if model.byte_fallback and len(self.bytes) < 256:
             raise ValueError("a model with byte fallback needs all 256 byte pieces")
         self.unknown_score = min((s for _, s, t in model.pieces if t == NORMAL), default=0.0) - UNKNOWN_PENALTY
-        self._beside: dict[tuple[int, int], bool] = {}
+        self.length = [len(p) for p in self.text]
+        self.spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else p.encode() for i, p in enumerate(self.text)]
+        self._beside: dict[int, bool] = {}
         self.rank = {p: -self.score[i] for p, i in self.id.items()}
         self.made_of: dict[str, tuple[str, str]] = {}
         whole = self.id
@@ -112,9 +115,9 @@ class Segmenter:
         self.single = {p for p in self.id if len(p) == 1}
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self._parts = None if crossing else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self._ids: dict[str, list[int]] = {}
+        self._ids: dict[str, bytes] = {}  # ids as 32-bit numbers: small, and nothing for the collector to follow
         self._counts: dict[str, tuple[int, float]] = {}
-        self._old_ids: dict[str, list[int]] = {}
+        self._old_ids: dict[str, bytes] = {}
         self._old_counts: dict[str, tuple[int, float]] = {}
 
     # -- one part -------------------------------------------------------------------------------
@@ -173,31 +176,27 @@ class Segmenter:
         single = self.single
         if self.model.kind == BPE:
             text, beside = self.text, self._beside
-            done = 0
+            if not single.issuperset(s):  # no piece holds an unknown character, so its place is known beforehand
+                for at, c in enumerate(s, 1):
+                    if c not in single:
+                        last[at], size[at] = -1, 1
             for end, (i, k) in self.automaton.iter(s) if self.whole else ():
                 end += 1
                 if last[end] != -2:
                     continue
-                while done < end - 1:
-                    done += 1
-                    if last[done] == -2 and s[done - 1] not in single:
-                        last[done], size[done] = -1, 1
                 if k < end:
                     before = last[end - k]
                     if before == -2:
                         continue
                     if before >= 0:
-                        ok = beside.get((before, i))
+                        ok = beside.get(before << 32 | i)
                         if ok is None:
                             if len(beside) >= CACHE:
                                 beside.clear()
-                            ok = beside[before, i] = self._stay(text[before], text[i])
+                            ok = beside[before << 32 | i] = self._stay(text[before], text[i])
                         if not ok:
                             continue
                 last[end], size[end] = i, k
-            for at in range(done + 1, n + 1):
-                if last[at] == -2 and s[at - 1] not in single:
-                    last[at], size[at] = -1, 1
             return last, size
         best, score, cost, done = [0.0] * (n + 1), self.score, self.unknown_score, 0
 
@@ -234,9 +233,13 @@ class Segmenter:
         out, at = [], len(s)
         while at:
             i = last[at]
-            out.append([i] if i >= 0 else self._char(s[at - 1]))
+            if i >= 0:
+                out.append(i)
+            else:
+                out += reversed(self._char(s[at - 1]))
             at -= size[at]
-        return [x for p in reversed(out) for x in p]
+        out.reverse()
+        return out
 
     def _count(self, s: str) -> tuple[int, float]:
         if self._tied(s):
@@ -273,20 +276,27 @@ class Segmenter:
 
     def encode(self, text: str) -> list[int]:
         """Piece ids of a whole text; the empty text has none."""
-        cache, old, out = self._ids, self._old_ids, []
-        for w in self.parts(text):
-            ids = cache.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    ids = self._segment(w)
-                if len(w) <= CACHED_CHARS:
-                    if len(cache) >= CACHE:  # the previous generation is still looked up
-                        old = self._old_ids = dict(cache)
-                        cache.clear()
-                    cache[w] = ids
-            out += ids
-        return self._merged(out)
+        return array("i", self.encoded(text)).tolist()
+
+    def encoded(self, text: str) -> bytes:
+        """The same ids as 32-bit numbers in the machine's order."""
+        parts = self.parts(text)
+        got = list(map(self._ids.get, parts))
+        if None in got:
+            got = [self._part(w) if x is None else x for w, x in zip(parts, got, strict=True)]
+        if self.model.byte_fallback:
+            return b"".join(got)
+        return array("i", self._merged(array("i", b"".join(got)).tolist())).tobytes()
+
+    def _part(self, w: str) -> bytes:
+        ids = self._ids.get(w) or self._old_ids.get(w)
+        if ids is None:
+            ids = array("i", self._segment(w)).tobytes()
+        if len(w) <= CACHED_CHARS:
+            if len(self._ids) >= CACHE:  # the previous generation is still looked up
+                self._ids, self._old_ids = {}, self._ids
+            self._ids[w] = ids
+        return ids
 
     def _merged(self, ids: list[int]) -> list[int]:
         """Without byte fallback a run of unknown characters is one piece."""
@@ -317,23 +327,14 @@ class Segmenter:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: control pieces vanish, bytes that aren't UTF-8 become U+FFFD, the prefix space goes."""
-        out: list[str] = []
-        pending = bytearray()
-        text, byte_of = self.text, self.byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                pending.append(b)
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            if i in self.control:
-                continue
-            out.append(" ⁇ " if i == self.unknown else text[i])
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-        s = "".join(out).replace(SPACE, " ")
+        if not self.control.isdisjoint(ids):  # bytes on both sides of a control piece belong to different characters
+            runs: list[list[int]] = [[]]
+            for i in ids:
+                runs.append([]) if i in self.control else runs[-1].append(i)
+        else:
+            runs = [ids]
+        # a piece's text is whole characters, so bytes of incomplete ones never join with it
+        s = "".join([b"".join(map(self.spelled.__getitem__, run)).decode("utf-8", "replace") for run in runs]).replace(SPACE, " ")
         return s[1:] if self.model.prefix and s.startswith(" ") else s
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,15 +31,19 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(data.value)
+        is_byte = np.zeros(len(seg.text), bool)
+        is_byte[list(seg.byte_of)] = True
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-                ids = [seg.encode(t) for t in texts]
+                ids = [np.frombuffer(seg.encoded(t), np.intc) for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                flat = np.concatenate(ids)
+                n_bytes = np.concatenate([[0], np.cumsum(is_byte[flat])])[offsets]
                 cols = list(batch.columns[:-1])
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
-                cols.append(pa.array([sum(map(seg.byte_of.__contains__, x)) for x in ids], pa.int64()))
-                cols.append(pa.array([seg.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]))
+                cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(offsets)), pa.array(np.diff(n_bytes))]
+                cols.append(pa.array([seg.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]))
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "ids", "n_pieces", "n_bytes", "roundtrip"])
 
     return rows.mapInArrow(run, schema)
