@@ -8,7 +8,14 @@ one window of their own length; shorter ones carry too little evidence and match
 Slots: each placeholder in a matched window pairs the item's value with the document's. Windows of one item
 on one diagonal (position in document minus position in item) count only if there every value of the item
 has one value in the document; values that differ are reported as a re-parameterised question.
-A document is contaminated by an item if the consistent windows cover COVER of the item's windows.
+A document is contaminated by an item if one of these holds:
+- consistent windows, wherever they are, are COVER of the item's windows;
+- one diagonal holds a run of consistent windows of PASSAGE tokens, whatever share of the item that is (windows of
+  slots only count here with the item's own values);
+- consistent windows on two neighbouring diagonals (one word put in or left out) hold COVER of the item's tokens, and
+  WINDOW tokens at least. Items of more than WINDOW and under EDITED tokens have windows of LEAST tokens for this rule
+  alone, at most half of them slots: one changed word may leave no window of WINDOW tokens whole. An item of EDITED
+  tokens with one changed word still holds PASSAGE tokens in a row.
 
 Scale: windows of documents pass a bit table of the benchmark's window hashes (fixed size, 2^TABLE_BITS bits)
 in the scan itself, so what is joined is near what matches. The exact join on the hash follows; the
@@ -32,6 +39,8 @@ from lodestone.llm.common import ready, sized, written
 from lodestone.llm.words import mix, tokens, windows, word_hash
 
 WINDOW, LEAST, COVER = 8, 4, 0.6
+PASSAGE = 13
+EDITED = 2 * PASSAGE + 1
 TABLE_BITS = 24
 #: Units of measurement that become placeholders behind a number.
 UNITS = (
@@ -58,35 +67,41 @@ def _canonical(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         yield t.first, t.offsets, h, t.hashes, t.digit | unit | name
 
 
-def _windows(col: pa.Array, lengths: list[int], whole: bool, table: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, window hash, position, slot lists) per length; ``whole``: a length under WINDOW only for texts of that length."""
+def _windows(col: pa.Array, lengths: list[int], whole: bool, table: np.ndarray | None) -> Iterator[tuple]:
+    """(row, window hash, position, length, slot lists, tokens of the row) per length; ``whole``: only the windows that items have."""
     for first, offsets, canon, rawh, slot in _canonical(col):
         for k in lengths:
             h, row, at = windows(canon, offsets, k)
             h = mix(h ^ np.uint64(k))
+            own = np.diff(offsets)[row]
             ok = np.ones(len(h), bool)
             if whole:
-                own = np.diff(offsets)[row]
                 ok = own == k if k < WINDOW else own >= k
+                if k == LEAST:
+                    before = np.concatenate(([0], np.cumsum(slot)))
+                    ok |= (own > WINDOW) & (own < EDITED) & (before[at + k] - before[at] <= k // 2)
             if table is not None:
                 ok &= (table[(h >> np.uint64(67 - TABLE_BITS)).astype(np.int64)] >> (h >> np.uint64(64 - TABLE_BITS) & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            h, row, at = h[ok], row[ok], at[ok]
-            slots = [rawh[a : a + k][slot[a : a + k]].view(np.int64) for a in at]
-            yield first + row, h.view(np.int64), at - offsets[row], slots
+            h, row, at, own = h[ok], row[ok], at[ok], own[ok]
+            inside = at[:, None] + np.arange(k)
+            held = slot[inside]
+            ends = np.concatenate(([0], np.cumsum(held.sum(axis=1)))).astype(np.int32)
+            slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(rawh[inside[held]].view(np.int64)))
+            yield first + row, h.view(np.int64), at - offsets[row], k, slots, own
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, hash, at (position), slots, n (windows of the item), for every item of LEAST tokens or more."""
+    """item_id, hash, at (position), k (tokens of the window), slots, n (tokens of the item), for every item of LEAST tokens or more."""
     ready(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, h, at, slots in _windows(batch.column(1), [*range(LEAST, WINDOW + 1)], True, None):
-                cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(slots, pa.list_(pa.int64())), pa.array(np.bincount(row)[row] if len(row) else row)]
-                yield pa.RecordBatch.from_arrays(cols, ["item_id", "hash", "at", "slots", "n"])
+            for row, h, at, k, slots, own in _windows(batch.column(1), [*range(LEAST, WINDOW + 1)], True, None):
+                cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(np.full(len(h), k, np.int64)), slots, pa.array(own)]
+                yield pa.RecordBatch.from_arrays(cols, ["item_id", "hash", "at", "k", "slots", "n"])
 
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates()
-    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, slots array<bigint>, n bigint")
+    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, k bigint, slots array<bigint>, n bigint")
 
 
 def _bits(items: DataFrame) -> np.ndarray:
@@ -101,34 +116,47 @@ def _bits(items: DataFrame) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, covered double (share of the item's windows), reparameterised boolean; one row for each contaminated pair."""
+    """doc_id, item_id, covered double (share of the item's windows or tokens), reparameterised boolean; one row for each contaminated pair."""
     spark = ready(docs.sparkSession)
     items = written(item_windows(benchmark), "items")
-    lengths = [WINDOW]
-    short = items.where("n = 1").select("item_id").limit(1)
-    if not short.isEmpty():  # short items, or items of exactly WINDOW tokens
-        lengths = [*range(LEAST, WINDOW + 1)]
+    lengths = sorted(r.k for r in items.select("k").distinct().collect())  # LEAST to WINDOW at most
     table = spark.sparkContext.broadcast(_bits(items))  # 2^TABLE_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, h, at, slots in _windows(batch.column(1), lengths, False, table.value):
+            for row, h, at, _, slots, _ in _windows(batch.column(1), lengths, False, table.value):
                 if len(row):
-                    cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(slots, pa.list_(pa.int64()))]
+                    cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), slots]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "pos", "values"])
 
     found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint, pos bigint, values array<bigint>")
     hits = found.join(sized(items), F.col("h") == F.col("hash")).withColumn("diagonal", F.col("pos") - F.col("at"))
+    hits = hits.withColumn("wide", F.expr(f"k = {WINDOW} or k = n"))
     pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("item"), F.col("values").alias("doc")))
     # a diagonal is as long as the item at most, so what is gathered here is bounded by one item
     lines = hits.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"), F.max("n").alias("n")
+        F.collect_set(F.when(F.col("wide"), F.col("at"))).alias("at"), F.collect_set(F.struct("at", "k")).alias("spans"),
+        F.array_sort(F.collect_set(F.expr(f"case when k = {WINDOW} and (size(slots) < k or slots = values) then at end"))).alias("solid"),
+        *(F.array_distinct(F.flatten(F.collect_list(F.when(c, pairs)))).alias(name) for name, c in (("pairs", F.col("wide")), ("all", F.lit(True)))), F.max("n").alias("n"),
     )
-    lines = lines.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs"))
-    lines = lines.select("doc_id", "item_id", "n", F.explode("at").alias("at"), F.exists("pairs", lambda p: p["item"] != p["doc"]).alias("changed"))
-    once = lines.groupBy("doc_id", "item_id", "at").agg(F.max("n").alias("n"), F.min("changed").alias("changed"))
-    whole = once.groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n")).alias("covered"), F.max("changed").alias("reparameterised"))
-    return whole.where(F.col("covered") >= COVER)
+    agree = lambda name: F.size(F.array_distinct(F.transform(name, lambda p: p["item"]))) == F.size(name)
+    changed = lambda name: F.exists(name, lambda p: p["item"] != p["doc"])
+    more = PASSAGE - WINDOW  # windows behind the first of a run
+    # windows of LEAST tokens that contradict a diagonal are left out of it; they take nothing from its other windows
+    lines = lines.where(agree("pairs")).withColumn("agree", agree("all")).select(
+        "doc_id", "item_id", "n", "diagonal", "at", changed("pairs").alias("changed"), F.when(F.col("agree"), changed("all")).otherwise(changed("pairs")).alias("other"),
+        F.expr(f"exists(transform(solid, (x, i) -> get(solid, i + {more}) <=> x + {more}), y -> y)").alias("passage"),
+        F.expr(f"array_distinct(flatten(transform(filter(spans, s -> agree or s.k = {WINDOW} or s.k = n), s -> sequence(s.at, s.at + s.k - 1))))").alias("tokens"),
+    )
+    # marks: windows of the item, wherever they are (no band), and its tokens on two neighbouring diagonals (a band)
+    bands = F.expr("explode(array(struct(cast(null as bigint) as band, at as marks, changed), struct(diagonal as band, tokens as marks, other as changed), struct(diagonal + 1 as band, tokens as marks, other as changed)))")
+    marks = lines.select("doc_id", "item_id", "n", "passage", bands.alias("b")).select("doc_id", "item_id", "n", "passage", "b.band", "b.changed", F.explode("b.marks").alias("mark"))
+    once = marks.groupBy("doc_id", "item_id", "band", "mark").agg(F.max("n").alias("n"), F.min("changed").alias("changed"), F.max("passage").alias("passage"))
+    each = once.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.max("changed").alias("changed"), F.max("passage").alias("passage"))
+    share = F.expr(f"case when band is null then m / greatest(n - {WINDOW - 1}, 1) when m >= least(n, {WINDOW}) or passage then m / n else 0D end")
+    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("covered"), (~F.col("changed")).alias("same"))).alias("best"), F.max("passage").alias("passage"))
+    best = best.where(F.col("passage") | (F.col("best.covered") >= COVER))
+    return best.select("doc_id", "item_id", F.col("best.covered").alias("covered"), (~F.col("best.same")).alias("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

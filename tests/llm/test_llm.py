@@ -201,6 +201,22 @@ def test_decontamination(spark, docs):
     assert decontam.contamination(table, bench.limit(0)).count() == decontam.contamination(table.limit(0), bench).count() == 0
 
 
+def _leaks(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r.doc_id, r.item_id): r.reparameterised for r in decontam.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()}
+
+
+def test_decontamination_of_passages_and_edited_copies(spark):
+    words59, words15, other = ([f"{p}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)] for p, n in (("w", 59), ("v", 15), ("u", 40)))
+    cut = lambda a, b: " ".join(other[:9] + words59[a:b] + other[9:])
+    edited = lambda at, *new: " ".join(other[:9] + words15[:at] + [*new] + words15[at + 1 :] + other[9:])
+    texts = [cut(10, 48), cut(20, 33), cut(20, 32), edited(7, "changed"), edited(7), edited(7, words15[7], "more"), edited(4, "changed"), " ".join(other[:9] + words15[:7] + other)]
+    assert _leaks(spark, [" ".join(words59), " ".join(words15)], texts) == {(0, 0): False, (1, 0): False, (3, 1): False, (4, 1): False, (5, 1): False, (6, 1): False}
+    numbers = " ".join(["Put these in order please", *map(str, range(10, 24)), *words59])
+    table = " ".join(map(str, range(50, 90)))
+    assert _leaks(spark, [numbers], [table, " ".join(map(str, range(10, 24)))]) == {(1, 0): False}  # other values alone are no passage
+
+
 # -- learned models -------------------------------------------------------------------------------
 
 
