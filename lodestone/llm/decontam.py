@@ -1,13 +1,16 @@
 """Benchmark decontamination by templates.
 
-Canonical tokens: a number becomes NUMBER, a capitalised word that does not open a sentence becomes NAME, a
+Canonical tokens: a number (with its points and commas) becomes NUMBER, a capitalised word that does not open a sentence becomes NAME, a
 unit behind a number becomes UNIT; every other word is itself, without case. Windows of WINDOW canonical
 tokens of documents and benchmark items are joined on their hash. Items of LEAST to WINDOW - 1 tokens are
 one window of their own length; shorter ones carry too little evidence and match nothing.
+Capitals depend on the place and the style of a copy: windows that hold a NAME are taken a second time with the words
+of its names without case, and the first window of an item also with a capitalised first word as a NAME, as it is where
+the copy follows a quote, bracket or plain word.
 
 Slots: each placeholder in a matched window pairs the item's value with the document's. Windows of one item
 on one diagonal (position in document minus position in item) count only if there every value of the item
-has one value in the document; values that differ are reported as a re-parameterised question.
+has one value in the document (if only the windows of the second kind contradict, only they do not count); values that differ are reported as a re-parameterised question.
 A document is contaminated by an item if one of these holds:
 - consistent windows, wherever they are, are COVER of the item's windows;
 - one diagonal holds a run of consistent windows of PASSAGE tokens, whatever share of the item that is (windows of
@@ -53,55 +56,69 @@ _NUMBER, _NAME, _UNIT = (np.uint64(word_hash(w)) for w in ("numberslot", "namesl
 _units = np.sort(np.array([word_hash(u) for u in UNITS], np.uint64))
 
 
-def _canonical(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, offsets, canonical hashes, raw hashes, whether a slot)."""
-    for t in tokens(col, context=True):
+def _canonical(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, offsets, canonical hashes, raw hashes, whether a slot, whether a NAME, rows that begin with a capital)."""
+    for t in tokens(col, context=True, numbers=True):
         h = t.hashes.copy()
         h[t.digit] = _NUMBER
         behind = np.zeros(len(h), bool)
         behind[1:] = t.digit[:-1]
-        behind[t.offsets[:-1][t.offsets[:-1] < len(h)]] = False
+        starts = t.offsets[:-1][t.offsets[:-1] < t.offsets[1:]]
+        behind[starts] = False
         unit = behind & (_units[np.minimum(np.searchsorted(_units, t.hashes), len(_units) - 1)] == t.hashes)
         name = t.capital & ~t.opens & ~unit
         h[unit], h[name] = _UNIT, _NAME
-        yield t.first, t.offsets, h, t.hashes, t.digit | unit | name
+        yield t.first, t.offsets, h, t.hashes, t.digit | unit | name, name, starts[t.capital[starts]]
 
 
 def _windows(col: pa.Array, lengths: list[int], whole: bool, table: np.ndarray | None) -> Iterator[tuple]:
-    """(row, window hash, position, length, slot lists, tokens of the row) per length; ``whole``: only the windows that items have."""
-    for first, offsets, canon, rawh, slot in _canonical(col):
+    """(row, window hash, position, length, slot lists, tokens of the row, whether of the second kind) per length and kind;
+    ``whole``: only the windows that items have."""
+    for first, offsets, canon, rawh, slot, name, opening in _canonical(col):
+        # hashes, slots, the tokens of which a window has one at least, whether at its first place
+        kinds = [(canon, slot, None, False)]
+        if name.any():
+            kinds.append((np.where(name, rawh, canon), slot & ~name, name, False))
+        if whole and len(opening):
+            named, held, lead = canon.copy(), slot.copy(), np.zeros(len(canon), bool)
+            named[opening], held[opening], lead[opening] = _NAME, True, True
+            kinds.append((named, held, lead, True))
         for k in lengths:
-            h, row, at = windows(canon, offsets, k)
-            h = mix(h ^ np.uint64(k))
-            own = np.diff(offsets)[row]
-            ok = np.ones(len(h), bool)
-            if whole:
-                ok = own == k if k < WINDOW else own >= k
-                if k == LEAST:
-                    before = np.concatenate(([0], np.cumsum(slot)))
-                    ok |= (own > WINDOW) & (own < EDITED) & (before[at + k] - before[at] <= k // 2)
-            if table is not None:
-                ok &= (table[(h >> np.uint64(67 - TABLE_BITS)).astype(np.int64)] >> (h >> np.uint64(64 - TABLE_BITS) & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            h, row, at, own = h[ok], row[ok], at[ok], own[ok]
-            inside = at[:, None] + np.arange(k)
-            held = slot[inside]
-            ends = np.concatenate(([0], np.cumsum(held.sum(axis=1)))).astype(np.int32)
-            slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(rawh[inside[held]].view(np.int64)))
-            yield first + row, h.view(np.int64), at - offsets[row], k, slots, own
+            for hashes, filled, needed, leads in kinds:
+                h, row, at = windows(hashes, offsets, k)
+                h = mix(h ^ np.uint64(k))
+                own = np.diff(offsets)[row]
+                ok = np.ones(len(h), bool)
+                if whole:
+                    ok = own == k if k < WINDOW else own >= k
+                    if k == LEAST:
+                        before = np.concatenate(([0], np.cumsum(filled)))
+                        ok |= (own > WINDOW) & (own < EDITED) & (before[at + k] - before[at] <= k // 2)
+                if needed is not None:
+                    before = np.concatenate(([0], np.cumsum(needed)))
+                    ok &= needed[at] if leads else before[at + k] > before[at]
+                if table is not None:
+                    ok &= (table[(h >> np.uint64(67 - TABLE_BITS)).astype(np.int64)] >> (h >> np.uint64(64 - TABLE_BITS) & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                h, row, at, own = h[ok], row[ok], at[ok], own[ok]
+                inside = at[:, None] + np.arange(k)
+                held = filled[inside]
+                ends = np.concatenate(([0], np.cumsum(held.sum(axis=1)))).astype(np.int32)
+                slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(rawh[inside[held]].view(np.int64)))
+                yield first + row, h.view(np.int64), at - offsets[row], k, slots, own, np.full(len(h), needed is not None)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, hash, at (position), k (tokens of the window), slots, n (tokens of the item), for every item of LEAST tokens or more."""
+    """item_id, hash, at (position), k (tokens of the window), slots, n (tokens of the item), second (kind), for every item of LEAST tokens or more."""
     ready(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, h, at, k, slots, own in _windows(batch.column(1), [*range(LEAST, WINDOW + 1)], True, None):
-                cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(np.full(len(h), k, np.int64)), slots, pa.array(own)]
-                yield pa.RecordBatch.from_arrays(cols, ["item_id", "hash", "at", "k", "slots", "n"])
+            for row, h, at, k, slots, own, second in _windows(batch.column(1), [*range(LEAST, WINDOW + 1)], True, None):
+                cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(np.full(len(h), k, np.int64)), slots, pa.array(own), pa.array(second)]
+                yield pa.RecordBatch.from_arrays(cols, ["item_id", "hash", "at", "k", "slots", "n", "second"])
 
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates()
-    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, k bigint, slots array<bigint>, n bigint")
+    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, k bigint, slots array<bigint>, n bigint, second boolean")
 
 
 def _bits(items: DataFrame) -> np.ndarray:
@@ -124,29 +141,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, h, at, _, slots, _ in _windows(batch.column(1), lengths, False, table.value):
+            for row, h, at, _, slots, _, second in _windows(batch.column(1), lengths, False, table.value):
                 if len(row):
-                    cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), slots]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "pos", "values"])
+                    cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), slots, pa.array(second)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "pos", "values", "folded"])
 
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint, pos bigint, values array<bigint>")
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint, pos bigint, values array<bigint>, folded boolean")
     hits = found.join(sized(items), F.col("h") == F.col("hash")).withColumn("diagonal", F.col("pos") - F.col("at"))
-    hits = hits.withColumn("wide", F.expr(f"k = {WINDOW} or k = n"))
+    hits = hits.withColumn("rank", F.expr(f"case when k < {WINDOW} and k < n then 2 when second or folded then 1 else 0 end"))
+    hits = hits.withColumn("solid", F.expr(f"k = {WINDOW} and (size(slots) < k or slots = values)"))
     pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("item"), F.col("values").alias("doc")))
     # a diagonal is as long as the item at most, so what is gathered here is bounded by one item
     lines = hits.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.collect_set(F.when(F.col("wide"), F.col("at"))).alias("at"), F.collect_set(F.struct("at", "k")).alias("spans"),
-        F.array_sort(F.collect_set(F.expr(f"case when k = {WINDOW} and (size(slots) < k or slots = values) then at end"))).alias("solid"),
-        *(F.array_distinct(F.flatten(F.collect_list(F.when(c, pairs)))).alias(name) for name, c in (("pairs", F.col("wide")), ("all", F.lit(True)))), F.max("n").alias("n"),
+        F.collect_set(F.struct("at", "k", "rank", "solid")).alias("spans"), F.max("n").alias("n"),
+        *(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= r, pairs)))).alias(f"pairs{r}") for r in range(3)),
     )
     agree = lambda name: F.size(F.array_distinct(F.transform(name, lambda p: p["item"]))) == F.size(name)
-    changed = lambda name: F.exists(name, lambda p: p["item"] != p["doc"])
+    changed = [F.exists(f"pairs{r}", lambda p: p["item"] != p["doc"]) for r in range(3)]
     more = PASSAGE - WINDOW  # windows behind the first of a run
-    # windows of LEAST tokens that contradict a diagonal are left out of it; they take nothing from its other windows
-    lines = lines.where(agree("pairs")).withColumn("agree", agree("all")).select(
-        "doc_id", "item_id", "n", "diagonal", "at", changed("pairs").alias("changed"), F.when(F.col("agree"), changed("all")).otherwise(changed("pairs")).alias("other"),
+    # windows of the second kind, and those of LEAST tokens, that contradict a diagonal are left out of it; they take nothing from its other windows
+    lines = lines.where(agree("pairs0")).withColumn("wide", F.when(agree("pairs1"), 1).otherwise(0)).withColumn("top", F.when(agree("pairs2"), 2).otherwise(F.col("wide")))
+    lines = lines.withColumn("solid", F.expr("array_sort(array_distinct(transform(filter(spans, s -> s.solid and s.rank <= wide), s -> s.at)))")).select(
+        "doc_id", "item_id", "n", "diagonal", F.expr("array_distinct(transform(filter(spans, s -> s.rank <= wide), s -> s.at))").alias("at"),
+        F.when(F.col("wide") == 1, changed[1]).otherwise(changed[0]).alias("changed"),
+        F.when(F.col("top") == 2, changed[2]).when(F.col("top") == 1, changed[1]).otherwise(changed[0]).alias("other"),
         F.expr(f"exists(transform(solid, (x, i) -> get(solid, i + {more}) <=> x + {more}), y -> y)").alias("passage"),
-        F.expr(f"array_distinct(flatten(transform(filter(spans, s -> agree or s.k = {WINDOW} or s.k = n), s -> sequence(s.at, s.at + s.k - 1))))").alias("tokens"),
+        F.expr("array_distinct(flatten(transform(filter(spans, s -> s.rank <= top), s -> sequence(s.at, s.at + s.k - 1))))").alias("tokens"),
     )
     # marks: windows of the item, wherever they are (no band), and its tokens on two neighbouring diagonals (a band)
     bands = F.expr("explode(array(struct(cast(null as bigint) as band, at as marks, changed), struct(diagonal as band, tokens as marks, other as changed), struct(diagonal + 1 as band, tokens as marks, other as changed)))")

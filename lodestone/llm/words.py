@@ -2,7 +2,7 @@
 
 A word is a maximal run of ASCII letters, ASCII digits and bytes of non-ASCII characters; case is
 folded for ASCII and Latin-1 letters. With ``symbols`` the maximal runs of other visible ASCII
-characters are tokens as well. Texts of any length are taken whole: a long one passes in pieces cut
+characters are tokens as well. With ``numbers`` a point or comma between two digits belongs to their word. Texts of any length are taken whole: a long one passes in pieces cut
 between tokens, so the work space stays near CHUNK bytes times a constant.
 """
 
@@ -80,10 +80,16 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def _piece(b: np.ndarray, breaks: np.ndarray, symbols: bool, context: bool):
+def _piece(b: np.ndarray, breaks: np.ndarray, symbols: bool, context: bool, numbers: bool = False):
     """Tokens of some bytes; breaks are positions at which a text begins."""
     n = len(b)
     kind = _kind[b]
+    joint = np.zeros(0, np.int64)
+    if numbers and n > 2:
+        digit, first = (b >= 48) & (b < 58), np.zeros(n, bool)
+        first[breaks[breaks < n]] = True
+        joint = np.flatnonzero(((b[1:-1] == 46) | (b[1:-1] == 44)) & digit[:-2] & digit[2:] & ~first[1:-1] & ~first[2:]) + 1
+        kind[joint] = _WORD
     if not symbols:
         kind = np.where(kind == _WORD, kind, 0).astype(np.uint8)
     low = _fold[b]
@@ -111,13 +117,15 @@ def _piece(b: np.ndarray, breaks: np.ndarray, symbols: bool, context: bool):
     shouted = (caps[ends] - caps[starts] == ends - starts) & (ends - starts > 1)
     lead = b[starts] if len(starts) else np.zeros(0, np.uint8)
     stop = np.zeros(n + 1, np.int64)
-    np.cumsum((b == 46) | (b == 33) | (b == 63) | (b == 58) | (b == 10), out=stop[1:])
+    ends_here = (b == 46) | (b == 33) | (b == 63) | (b == 58) | (b == 10)
+    ends_here[joint] = False
+    np.cumsum(ends_here, out=stop[1:])
     before = np.concatenate(([0], starts[:-1])) if len(starts) else starts
     opens = stop[starts] > stop[before]
     return starts, hashes, shouted, _upper[lead] == 1, (lead >= 48) & (lead < 58), opens
 
 
-def tokens(col: pa.Array, symbols: bool = False, context: bool = False) -> Iterator[Tokens]:
+def tokens(col: pa.Array, symbols: bool = False, context: bool = False, numbers: bool = False) -> Iterator[Tokens]:
     """Tokens of a column, for groups of consecutive rows of about CHUNK bytes; ``context`` fills the flags."""
     data, offsets = raw(col)
     rows, i = len(offsets) - 1, 0
@@ -136,7 +144,7 @@ def tokens(col: pa.Array, symbols: bool = False, context: bool = False) -> Itera
                     end = end + int(gap[0]) + 1 if len(gap) else hi
             b = data[at:end]
             if len(b):
-                got = _piece(b, np.maximum(offsets[i:j], at) - at, symbols, context)
+                got = _piece(b, np.maximum(offsets[i:j], at) - at, symbols, context, numbers)
                 parts.append((got[0] + at, *got[1:]))
             at = end
             if at >= hi:

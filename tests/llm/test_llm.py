@@ -217,6 +217,19 @@ def test_decontamination_of_passages_and_edited_copies(spark):
     assert _leaks(spark, [numbers], [table, " ".join(map(str, range(10, 24)))]) == {(1, 0): False}  # other values alone are no passage
 
 
+def test_decontamination_of_copies_in_other_case(spark):
+    short, nine = "What is the capital of France?", "What did the old king of Spain say then?"
+    long = "Every day the careful gardener Miller carries water from the well behind the house to the roses at the gate"
+    price = "The new machine of the mill cost 1,250,000 dollars and cut 3.5 tons of wood in a day"
+    texts = [f'he asked "{short}"', f"then ({nine})", long.lower(), long.upper(), long.title(), price.replace("1,250,000", "900").replace("3.5", "12"), 'he asked "What is the capital of Spain?"', "she did the old thing"]
+    got = _leaks(spark, [short, nine, long, price], texts)
+    assert got == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 2): False, (4, 2): False, (5, 3): True, (6, 0): True}
+    for a, n in (("1,000 and 3.5.", 3), ("1, 2", 2), (",1", 1), ("a.b 1.", 3)):
+        assert [len(t.hashes) for t in words.tokens(pa.array([a]), numbers=True)] == [n], a
+    assert [list(np.diff(t.offsets)) for t in words.tokens(pa.array(["1", ",2", "3,", "4"]), numbers=True)] == [[1, 1, 1, 1]]
+    assert [list(t.opens) for t in words.tokens(pa.array(["It is 3.5 Or so. Yes"]), context=True, numbers=True)] == [[True, False, False, False, False, True]]
+
+
 # -- learned models -------------------------------------------------------------------------------
 
 
