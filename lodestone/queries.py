@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +179,29 @@ def order_nulls_desc(spark, sf):
     return _pick(df, None, "event_id, value", order=("value", False)).limit(9000)
 
 
+def _positions(spark: SparkSession, sf: str, ascending: bool) -> DataFrame:
+    """Every event and its position in the operator's order: that in its sorted partition, behind those before; only counts of partitions meet in one task."""
+    df = _events(spark, sf).withColumn(SEQ, F.col("event_id"))
+    rows = _pick(df, None, "event_id, value", order=("value", ascending)).withColumn("_at", F.monotonically_increasing_id())
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():  # the cluster names none, as in tests
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    rows = rows.checkpoint().withColumn("_part", F.shiftright("_at", 33))  # both reads below see the same partitions
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    position = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(parts), "_part").select("event_id", "value", position.alias("position"))
+
+
+@query(f"SELECT event_id, value, row_number() OVER (ORDER BY value ASC NULLS FIRST, event_id) AS position FROM {EVENTS}")
+def order_nulls_asc_all(spark, sf):
+    return _positions(spark, sf, True)
+
+
+@query(f"SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS position FROM {EVENTS}")
+def order_nulls_desc_all(spark, sf):
+    return _positions(spark, sf, False)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 25 OFFSET 10)")
 def page_then_sort(spark, sf):
     """The page is taken in the order of the rows and only then sorted by price."""

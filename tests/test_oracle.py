@@ -44,3 +44,19 @@ def test_query(spark, duck, name):
     assert {c: kinds[str(t)] for c, t in zip(want.columns, want.types)} == dict(df.dtypes)
     got = sorted((tuple(map(plain, r)) for r in want.select(*[f'"{c}"' for c in columns]).fetchall()), key=key)
     assert rows == got
+
+
+@pytest.mark.parametrize("name, nulls_first", [("order_nulls_asc_all", True), ("order_nulls_desc_all", False)])
+def test_order_has_every_row_and_both_kinds(spark, name, nulls_first):
+    """Cut into several sorted partitions, whatever the size of the table."""
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = sorted(Q.QUERIES[name](spark, SF).collect(), key=lambda r: r.position)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    nulls = sum(r.value is None for r in rows)
+    assert [r.position for r in rows] == [*range(1, spark.read.parquet(f"{SF}/events.parquet").count() + 1)]
+    assert 0 < nulls < len(rows) and all((r.value is None) == ((k < nulls) if nulls_first else (k >= len(rows) - nulls)) for k, r in enumerate(rows))
+    some = [(r.value if nulls_first else -r.value, r.event_id) for r in rows if r.value is not None]
+    assert some == sorted(some)
