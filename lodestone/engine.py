@@ -1,4 +1,10 @@
-"""The engine: databases, tables, statements and nested transactions over immutable snapshots."""
+"""The engine: databases, tables, statements and nested transactions over immutable parts.
+
+A table's state is a list of written parts. A statement writes the parts it needs first, checks what it wrote, and
+only then makes them the table's state: an error in an expression, a lost executor that ends the job or a broken
+rule leaves every table as it was, and nothing is computed again when the table is read. An insert writes its own
+rows only; an update or delete writes each changed table once.
+"""
 
 from __future__ import annotations
 
@@ -17,10 +23,11 @@ from lodestone.operators.rewrite import Update
 from lodestone.operators.select import SEQ, Query, select
 from lodestone.plans.conditions import Conditions, where
 from lodestone.schema import Schema
-from lodestone.sources.storage import Storage, numbered
+from lodestone.scratch import made, numbered, release
+from lodestone.sources.storage import Parts, Storage
 
-#: After so many statements a table's lineage is cut by a checkpoint in spark.checkpoint.dir.
-STATEMENTS = 4
+#: An insert that would give a table more parts than this writes the table anew as one part.
+PARTS = 64
 
 
 class Select:
@@ -67,17 +74,17 @@ class Select:
 class _Database:
     def __init__(self) -> None:
         self.schemas: dict[str, Schema] = {}
-        self.layers: list[tuple[str, dict[str, DataFrame]]] = [("", {})]
+        self.layers: list[tuple[str, dict[str, Parts]]] = [("", {})]
         self.counters: dict[str, int] = {}
         self.following: dict[str, int] = {}
-        self.ages: dict[str, int] = {}
-        self.dirty: set[str] = set()
+        self.opened: dict[str, tuple[Parts, DataFrame]] = {}
 
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None):
+        """Tables live under ``path`` from commit to commit; without one, in the scratch folder while the driver runs."""
         self.spark = spark
-        self.storage = Storage(spark, path) if path else None
+        self.storage = Storage(spark, path)
         self.databases: dict[str, _Database] = {}
         self.name = ""
 
@@ -91,17 +98,19 @@ class Engine:
         return self
 
     def select_database(self, name: str) -> Engine:
-        """Make another database the current one; the one before is committed first."""
+        """Make another database the current one; all that is open in the one before is committed first."""
         if name not in self.databases:
             raise SchemaError(f"no database {name}")
         if self.name and self.name != name:
-            self.commit()
+            self._commit_all()
         self.name = name
         return self
 
     def drop_database(self, name: str) -> None:
-        for t in list(self.databases[name].schemas) if self.storage else []:
-            self.storage.drop(name, t)
+        """With its tables and files; if it was the current one, none is."""
+        if name not in self.databases:
+            raise SchemaError(f"no database {name}")
+        self.storage.drop(name)
         del self.databases[name]
         self.name = "" if self.name == name else self.name
 
@@ -117,23 +126,20 @@ class Engine:
         if name in db.schemas:
             raise SchemaError(f"table {name} exists")
         schema.validate(db.schemas)
-        df = self.storage.load(self.name, name, schema) if self.storage and rows is None else None
-        if df is None and rows is not None:
-            df = numbered(rewrite.aligned(rows, schema))
-            if self.storage:  # from here on the row numbers are data, and predicates reach the files
-                self.storage.save(self.name, name, df)
-                df = self.storage.load(self.name, name, schema)
-        if df is None:
-            df = self.spark.createDataFrame([], T.StructType([*schema.struct.fields, T.StructField(SEQ, T.LongType())]))
+        if rows is None:
+            parts = self.storage.tables(self.name).get(name, ())
+        else:
+            mark = made()
+            parts = (self.storage.write(self.name, name, numbered(rewrite.aligned(rows, schema), SEQ)),)
+            release(self.spark, mark)
         db.schemas[name] = schema
-        db.layers[0][1][name] = df
+        db.layers[0][1][name] = parts
         self._restart(name)
         return self
 
     def _restart(self, name: str) -> None:
         db, own = self._db, [c.name for c in self._db.schemas[name].columns if c.auto_increment]
-        df = db.layers[0][1][name]
-        got = df.agg(F.max(SEQ).alias("s"), *(F.max(c).alias("a") for c in own)).first()
+        got = self.table(name).agg(F.max(SEQ).alias("s"), *(F.max(c).alias("a") for c in own)).first()
         db.counters[name] = -1 if got["s"] is None else got["s"]
         db.following[name] = 1 + (got["a"] or 0) if own else 1
 
@@ -147,19 +153,27 @@ class Engine:
             return
         for _, layer in db.layers:
             layer.pop(name, None)
-        db.dirty.discard(name)
-        if self.storage:
-            self.storage.drop(self.name, name)
+        self.storage.point(self.name, {t: p for t, p in self.storage.tables(self.name).items() if t != name})
+        self.storage.drop(self.name, name)
 
     def schema(self, table: str) -> Schema:
         if table not in self._db.schemas:
             raise SchemaError(f"no table {table}")
         return self._db.schemas[table]
 
+    def _parts(self, name: str) -> Parts:
+        return next(layer[name] for _, layer in reversed(self._db.layers) if name in layer)
+
     def table(self, name: str) -> DataFrame:
         """The table as the innermost transaction sees it, with the hidden row number."""
-        self.schema(name)
-        return next(layer[name] for _, layer in reversed(self._db.layers) if name in layer)
+        schema, parts, db = self.schema(name), self._parts(name), self._db
+        if name not in db.opened or db.opened[name][0] != parts:
+            db.opened[name] = parts, self.storage.open(self.name, name, parts, schema)
+        return db.opened[name][1]
+
+    def size(self, name: str) -> int:
+        """How many rows a table has."""
+        return self.table(name).count()
 
     def describe_table(self, name: str) -> DataFrame:
         """column, type, size, constraints, default."""
@@ -170,6 +184,11 @@ class Engine:
         rows = [(t, c.name, c.type.name) for t, s in sorted(self._db.schemas.items()) for c in s.columns]
         return self.spark.createDataFrame(rows, "table string, column string, type string")
 
+    def describe_all(self) -> DataFrame:
+        """Every column of every table of every database."""
+        rows = [(d, t, c.name, c.type.name) for d, db in sorted(self.databases.items()) for t, s in sorted(db.schemas.items()) for c in s.columns]
+        return self.spark.createDataFrame(rows, "database string, table string, column string, type string")
+
     # -- statements -----------------------------------------------------------------------------
 
     def select(self, columns: str | None = "*") -> Select:
@@ -202,61 +221,59 @@ class Engine:
 
     def insert_df(self, table: str, rows: DataFrame) -> int:
         """Append a DataFrame (an extension): the same defaults, numbering and checks, without rows on the driver."""
-        schema, db = self.schema(table), self._db
+        schema, db, mark = self.schema(table), self._db, made()
         start = db.counters[table] + 1
-        if SEQ not in rows.columns:
-            rows = numbered(rows)
-        rows = rewrite.aligned(rows, schema, F.lit(str(dt.datetime.now(dt.UTC).replace(tzinfo=None)))).withColumn(SEQ, F.col(SEQ) + start)
+        now = F.lit(str(dt.datetime.now(dt.UTC).replace(tzinfo=None)))
+        given = SEQ in rows.columns  # rows of ``insert`` come with dense numbers from 0 on
+        rows = rewrite.aligned(rows, schema, now)
+        rows = rows.withColumn(SEQ, F.col(SEQ) + start) if given else numbered(rows, SEQ, start)
         own = next((c.name for c in schema.columns if c.auto_increment), "")
-        rows = rewrite.auto_increment(rows, own, db.following[table])
-        whole = self.table(table).unionByName(rows)
-        parents = {k.parent: self.table(k.parent) for k in schema.foreign_keys}
-        validate(schema, rows, whole, parents)
-        got = rows.agg(F.count("*").alias("n"), F.max(SEQ).alias("s"), *([F.max(own).alias("a")] if own else [])).first()
-        if got["n"]:
-            db.counters[table] = got["s"]
-            if own and got["a"] is not None:  # like a sequence, not rolled back
-                db.following[table] = max(db.following[table], got["a"] + 1)
-            self._swap({table: whole})
+        with _Draft(self) as draft:
+            rows = draft.keep(table, rewrite.auto_increment(rows, own, db.following[table]))
+            parts = (*self._parts(table), draft.parts[table])
+            whole = self.storage.open(self.name, table, parts, schema)
+            validate(schema, rows, whole, {k.parent: self.table(k.parent) for k in schema.foreign_keys})
+            got = rows.agg(F.count("*").alias("n"), F.max(SEQ).alias("s"), *([F.max(own).alias("a")] if own else [])).first()
+            if got["n"]:
+                if len(parts) > PARTS:
+                    parts = (self.storage.write(self.name, table, whole.coalesce(max(1, len(parts) // 8))),)
+                db.counters[table] = got["s"]
+                if own and got["a"] is not None:  # like a sequence, not rolled back
+                    db.following[table] = max(db.following[table], got["a"] + 1)
+                draft.swap({table: parts})
+        release(self.spark, mark)
         return got["n"]
 
     def update(self, table: str, what: Update, condition: Conditions | None = None, limit: int = -1, begin: int = 0) -> int:
         """Change rows, all or none; how many were chosen."""
-        schema, df, q = self.schema(table), self.table(table), Query(condition, begin, limit)
+        schema, df, q, mark = self.schema(table), self.table(table), Query(condition, begin, limit), made()
         old = rewrite.chosen(df, schema, q)
         n = old.count()
         if n:
-            statement = Statement(self._tables(), self._db.schemas)
             now = F.lit(str(dt.datetime.now(dt.UTC).replace(tzinfo=None)))
-            statement.update(table, rewrite.update(df, schema, q, what, now), old)
-            self._swap(statement.check())
+            with _Draft(self) as draft:
+                statement = Statement(self._tables(), self._db.schemas, draft.keep)
+                statement.update(table, rewrite.update(df, schema, q, what, now), old)
+                draft.swap(dict.fromkeys(statement.check()))
+        release(self.spark, mark)
         return n
 
     def delete(self, table: str, condition: Conditions | None = None, limit: int = -1, begin: int = 0) -> int:
         """Remove rows and what their foreign keys say; how many rows of this table."""
-        schema, df, q = self.schema(table), self.table(table), Query(condition, begin, limit)
+        schema, df, q, mark = self.schema(table), self.table(table), Query(condition, begin, limit), made()
         doomed = rewrite.chosen(df, schema, q)
         n = doomed.count()
         if n:
-            statement = Statement(self._tables(), self._db.schemas)
-            statement.delete(table, rewrite.delete(df, schema, q), doomed)
-            self._swap(statement.check())
+            with _Draft(self) as draft:
+                statement = Statement(self._tables(), self._db.schemas, draft.keep)
+                statement.delete(table, rewrite.delete(df, schema, q), doomed)
+                draft.swap(dict.fromkeys(statement.check()))
+        release(self.spark, mark)
         return n
 
     def _tables(self) -> dict[str, DataFrame]:
         return {t: self.table(t) for t in self._db.schemas}
 
-    def _swap(self, after: dict[str, DataFrame]) -> None:
-        db = self._db
-        for t, df in after.items():
-            db.ages[t] = db.ages.get(t, 0) + 1
-            if db.ages[t] % STATEMENTS == 0:
-                if self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():  # the cluster names none, as in tests
-                    self.spark.sparkContext.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-                df = df.checkpoint()
-            db.layers[-1][1][t] = df
-            db.dirty.add(t)
-
     # -- transactions ---------------------------------------------------------------------------
 
     def begin(self, name: str = "") -> Engine:
@@ -265,18 +282,21 @@ class Engine:
         return self
 
     def commit(self) -> Engine:
-        """The innermost transaction's tables become its parent's; outside of any, changed tables are written."""
+        """The innermost transaction's tables become its parent's; outside of any, all tables are committed at once."""
         db = self._db
         if len(db.layers) > 1:
             _, layer = db.layers.pop()
             db.layers[-1][1].update(layer)
-        elif self.storage:
-            for t in sorted(db.dirty):
-                self.storage.save(self.name, t, db.layers[0][1][t])
-                db.layers[0][1][t] = self.storage.load(self.name, t, db.schemas[t])
-            db.dirty.clear()
+        else:
+            # tables of earlier runs that are not declared yet stay as they are
+            self.storage.point(self.name, self.storage.tables(self.name) | db.layers[0][1])
         return self
 
+    def _commit_all(self) -> None:
+        while len(self._db.layers) > 1:
+            self.commit()
+        self.commit()
+
     def rollback(self) -> Engine:
         """Forget the innermost transaction; outside of any there is nothing to forget."""
         if len(self._db.layers) > 1:
@@ -284,9 +304,35 @@ class Engine:
         return self
 
     def close(self) -> None:
-        """Commit everything that is open in every database."""
-        for name in self.databases:
-            self.name = name
-            while len(self._db.layers) > 1:
-                self.commit()
-            self.commit()
+        """Commit everything that is open in every database; the current one stays the current one."""
+        current = self.name
+        for self.name in self.databases:
+            self._commit_all()
+        self.name = current
+
+
+class _Draft:
+    """The parts that a statement writes: they become the state of their tables at ``swap``, or are deleted."""
+
+    def __init__(self, engine: Engine):
+        self._engine, self._made, self.parts = engine, [], {}
+
+    def __enter__(self) -> _Draft:
+        return self
+
+    def keep(self, table: str, df: DataFrame) -> DataFrame:
+        """Write a table's next state; what stands there now is read from then on."""
+        e = self._engine
+        self.parts[table] = e.storage.write(e.name, table, df)
+        self._made.append((table, self.parts[table]))
+        return e.storage.open(e.name, table, (self.parts[table],), e.schema(table))
+
+    def swap(self, tables: dict[str, Parts | None]) -> None:
+        """The new parts of tables; None is the one that was kept last."""
+        named = {t: p or (self.parts[t],) for t, p in tables.items()}
+        self._engine._db.layers[-1][1].update(named)
+        self._made = [(t, p) for t, p in self._made if p not in named.get(t, ())]
+
+    def __exit__(self, *_: object) -> None:
+        for table, part in self._made:
+            self._engine.storage.forget(self._engine.name, table, part)

@@ -22,7 +22,8 @@ def size_violations(df: DataFrame, column: str, size: int) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, column: str) -> DataFrame:
     """(column, count) of values that occur more than once; nulls are exempt."""
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("count")).where("count > 1")
+    found = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_seq_n")).where("_seq_n > 1")
+    return found.toDF(column, "count")
 
 
 def check_violations(df: DataFrame, schema: Schema, name: str) -> DataFrame:
@@ -33,15 +34,15 @@ def check_violations(df: DataFrame, schema: Schema, name: str) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, key: ForeignKey) -> DataFrame:
     """Rows whose key is nowhere in the parent, as a whole; a key with a null is exempt."""
     some = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key.columns))
-    keys = parent.select(*(F.col(p).alias(f"_p{i}") for i, p in enumerate(key.parent_columns)))
-    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_p{i}") for i, c in enumerate(key.columns)))
+    keys = parent.select(*(F.col(p).alias(f"_seq_p{i}") for i, p in enumerate(key.parent_columns)))
+    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_seq_p{i}") for i, c in enumerate(key.columns)))
     return child.where(some).join(keys, on, "left_anti")
 
 
 def referencing(child: DataFrame, keys: DataFrame, key: ForeignKey, how: str = "left_semi") -> DataFrame:
     """Rows of the child whose key is among the parent rows ``keys``; with left_anti the others."""
-    its = keys.select(*(F.col(p).alias(f"_p{i}") for i, p in enumerate(key.parent_columns)))
-    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_p{i}") for i, c in enumerate(key.columns)))
+    its = keys.select(*(F.col(p).alias(f"_seq_p{i}") for i, p in enumerate(key.parent_columns)))
+    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_seq_p{i}") for i, c in enumerate(key.columns)))
     return child.join(its, on, how)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,15 +14,17 @@ from lodestone.operators.select import SEQ
 from lodestone.plans.conditions import literal
 from lodestone.schema import CASCADE, RESTRICT, SET_DEFAULT, ForeignKey, Schema
 
+OLD, NEW = "_seq_o", "_seq_n"
+
 
 def rewritten(child: DataFrame, moved: DataFrame, key: ForeignKey, schema: Schema, action: str) -> DataFrame:
     """The child with the columns of ``key`` changed in rows whose key is an old one.
 
-    ``moved`` has columns _o0.. (old key) and, for CASCADE, _n0.. (new key).
+    ``moved`` has columns OLD + 0.. (old key) and, for CASCADE, NEW + 0.. (new key).
     """
-    hit = F.col("_hit")
-    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_o{i}") for i, c in enumerate(key.columns)))
-    joined = child.join(moved.withColumn("_hit", F.lit(True)), on, "left")
+    hit = F.col("_seq_hit")
+    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{OLD}{i}") for i, c in enumerate(key.columns)))
+    joined = child.join(moved.withColumn("_seq_hit", F.lit(True)), on, "left")
     out = []
     for c in child.columns:
         if c not in key.columns:
@@ -29,7 +32,7 @@ def rewritten(child: DataFrame, moved: DataFrame, key: ForeignKey, schema: Schem
             continue
         i, column = key.columns.index(c), schema[c]
         if action == CASCADE:
-            new = F.col(f"_n{i}")
+            new = F.col(f"{NEW}{i}")
         elif action == SET_DEFAULT:
             new = literal(column.type.stored(column.default), column.type.spark).cast(column.type.spark)
         else:
@@ -39,10 +42,13 @@ def rewritten(child: DataFrame, moved: DataFrame, key: ForeignKey, schema: Schem
 
 
 class Statement:
-    """What one statement does to all tables. ``tables`` is read, ``after`` holds the tables that changed."""
+    """What one statement does to all tables. ``tables`` is read, ``after`` holds the tables that changed.
+
+    ``keep`` fixes a post-image, for example by writing it, before anything else reads it; what it raises ends the statement.
+    """
 
-    def __init__(self, tables: dict[str, DataFrame], schemas: dict[str, Schema]):
-        self.before, self.schemas, self.after = tables, schemas, {}
+    def __init__(self, tables: dict[str, DataFrame], schemas: dict[str, Schema], keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df):
+        self.before, self.schemas, self.keep, self.after = tables, schemas, keep, {}
         self.touched: dict[str, DataFrame] = {}
 
     def now(self, name: str) -> DataFrame:
@@ -51,10 +57,12 @@ class Statement:
     def _children(self, name: str) -> list[tuple[str, ForeignKey]]:
         return [(t, k) for t, s in self.schemas.items() for k in s.foreign_keys if k.parent == name]
 
-    def put(self, name: str, df: DataFrame, rows: DataFrame | None = None) -> None:
-        self.after[name] = df
-        if rows is not None:
-            self.touched[name] = rows if name not in self.touched else df.join(self.touched[name].select(SEQ).union(rows.select(SEQ)).distinct(), SEQ, "left_semi").select(*df.columns)
+    def put(self, name: str, df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        """A table's next state and the numbers of the rows that changed."""
+        df = self.after[name] = self.keep(name, df)
+        if ids is not None:
+            self.touched[name] = self.touched[name].union(ids).distinct() if name in self.touched else ids
+        return df
 
     def delete(self, name: str, survivors: DataFrame, doomed: DataFrame) -> None:
         """Rows go, with what their foreign keys' onDelete says."""
@@ -68,20 +76,19 @@ class Statement:
             elif key.on_delete == CASCADE:
                 self.delete(child, referencing(rows, doomed, key, "left_anti"), hit)
             else:
-                moved = doomed.select(*(F.col(p).alias(f"_o{i}") for i, p in enumerate(key.parent_columns))).distinct()
+                moved = doomed.select(*(F.col(p).alias(f"{OLD}{i}") for i, p in enumerate(key.parent_columns))).distinct()
                 self._move(child, key, moved, key.on_delete, hit)
 
     def update(self, name: str, new: DataFrame, old_rows: DataFrame) -> None:
         """Rows change, with what their foreign keys' onUpdate says where a key really changed."""
-        ids = old_rows.select(SEQ)
-        self.put(name, new, new.join(ids, SEQ, "left_semi").select(*new.columns))
+        new = self.put(name, new, old_rows.select(SEQ))
         for child, key in self._children(name):
-            old = old_rows.select(SEQ, *(F.col(p).alias(f"_o{i}") for i, p in enumerate(key.parent_columns)))
-            fresh = new.select(SEQ, *(F.col(p).alias(f"_n{i}") for i, p in enumerate(key.parent_columns)))
-            differs = reduce(lambda a, b: a | b, (~F.col(f"_o{i}").eqNullSafe(F.col(f"_n{i}")) for i in range(len(key.columns))))
+            old = old_rows.select(SEQ, *(F.col(p).alias(f"{OLD}{i}") for i, p in enumerate(key.parent_columns)))
+            fresh = new.select(SEQ, *(F.col(p).alias(f"{NEW}{i}") for i, p in enumerate(key.parent_columns)))
+            differs = reduce(lambda a, b: a | b, (~F.col(f"{OLD}{i}").eqNullSafe(F.col(f"{NEW}{i}")) for i in range(len(key.columns))))
             moved = old.join(fresh, SEQ).where(differs).drop(SEQ)
             rows = self.now(child)
-            on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_o{i}") for i, c in enumerate(key.columns)))
+            on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{OLD}{i}") for i, c in enumerate(key.columns)))
             hit = rows.join(moved, on, "left_semi")
             if key.on_update == RESTRICT:
                 if not hit.isEmpty():
@@ -96,9 +103,9 @@ class Statement:
 
     def check(self) -> dict[str, DataFrame]:
         """Validate all rows that changed against the final state of all tables."""
-        for name, rows in self.touched.items():
+        for name, ids in self.touched.items():
             schema = self.schemas[name]
             parents = {k.parent: self.now(k.parent) for k in schema.foreign_keys}
             whole = self.now(name)
-            validate(schema, whole.join(rows.select(SEQ), SEQ, "left_semi").select(*whole.columns), whole, parents)
+            validate(schema, whole.join(ids, SEQ, "left_semi").select(*whole.columns), whole, parents)
         return self.after

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.arith import compile_arithmetic, names
 from lodestone.operators.select import SEQ, Query, page
-from lodestone.plans.conditions import Conditions, fold, literal
+from lodestone.plans.conditions import Conditions, fold, holds, literal
 from lodestone.schema import Schema
 
 Fn = Callable[[Column], Column]
+HIT = "_seq_hit"
 
 
 class Update:
@@ -75,7 +76,7 @@ def changed_rows(rows: DataFrame, schema: Schema, update: Update, now: Column |
     for kind, target, value in update.steps:
         columns = {c: F.col(c) for c in schema.names}
         if kind == "guard":
-            active = f"_if{guards}"
+            active = f"_seq_if{guards}"
             guards += 1
             test = fold(value.items, columns, types, False)
             out = out.withColumn(active, test if hit is None else F.col(hit) & test)
@@ -100,7 +101,7 @@ def changed_rows(rows: DataFrame, schema: Schema, update: Update, now: Column |
         else:
             new = value(F.col(target)).cast(types[target])
         out = out.withColumn(target, new if active is None else F.when(F.col(active), new).otherwise(F.col(target)))
-    return out.drop(*(f"_if{k}" for k in range(guards)))
+    return out.drop(*(f"_seq_if{k}" for k in range(guards)))
 
 
 def new_type(floating: bool) -> str:
@@ -118,7 +119,7 @@ def delete(df: DataFrame, schema: Schema, q: Query) -> DataFrame:
         if q.where is None:
             return df.limit(0)
         columns = {c: F.col(c) for c in schema.names}
-        return df.where(~fold(q.where.items, columns, schema.types, True))
+        return df.where(~holds(q.where.items, columns, schema.types))
     return df.join(chosen(df, schema, q).select(SEQ), SEQ, "left_anti").select(*df.columns)
 
 
@@ -128,11 +129,11 @@ def update(df: DataFrame, schema: Schema, q: Query, what: Update, now: Column |
         if q.where is None:
             return changed_rows(df, schema, what, now).select(*df.columns)
         columns = {c: F.col(c) for c in schema.names}
-        marked = df.withColumn("_hit", fold(q.where.items, columns, schema.types, True))
+        marked = df.withColumn(HIT, holds(q.where.items, columns, schema.types))
     else:
-        ids = chosen(df, schema, q).select(F.col(SEQ).alias("_id"), F.lit(True).alias("_hit"))
-        marked = df.join(ids, F.col(SEQ) == F.col("_id"), "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    return changed_rows(marked, schema, what, now, "_hit").select(*df.columns)
+        ids = chosen(df, schema, q).select(F.col(SEQ).alias("_seq_id"), F.lit(True).alias(HIT))
+        marked = df.join(ids, F.col(SEQ) == F.col("_seq_id"), "left").withColumn(HIT, F.coalesce(HIT, F.lit(False)))
+    return changed_rows(marked, schema, what, now, HIT).select(*df.columns)
 
 
 def aligned(rows: DataFrame, schema: Schema, now: Column | None = None) -> DataFrame:
@@ -164,14 +165,14 @@ def auto_increment(rows: DataFrame, column: str, following: int) -> DataFrame:
     """
     if not column:
         return rows
-    own = Window.partitionBy("_block").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_seq_block").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_seq_block").rowsBetween(Window.unboundedPreceding, -1)
     c, start = F.col(column), F.lit(following).cast("long")
-    out = rows.withColumn("_block", F.shiftright(SEQ, BLOCK_BITS))
-    out = out.withColumn("_nulls", F.sum(F.when(c.isNull(), 1).otherwise(0)).over(own))
-    out = out.withColumn("_lift", F.max(F.when(c.isNotNull(), c + 1 - F.col("_nulls"))).over(own))
-    blocks = out.groupBy(F.col("_block").alias("_b")).agg(F.max("_nulls").alias("_n"), F.max("_lift").alias("_l")).withColumnRenamed("_b", "_block")
-    blocks = blocks.withColumn("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    blocks = blocks.withColumn("_base", F.col("_p") + F.greatest(start, F.max(F.col("_l") - F.col("_p")).over(before))).select("_block", "_base")
-    made = F.greatest("_base", "_lift") + F.col("_nulls") - 1
-    return out.join(blocks, "_block").withColumn(column, F.coalesce(c, made)).select(*rows.columns)
+    out = rows.withColumn("_seq_block", F.shiftright(SEQ, BLOCK_BITS))
+    out = out.withColumn("_seq_nulls", F.sum(F.when(c.isNull(), 1).otherwise(0)).over(own))
+    out = out.withColumn("_seq_lift", F.max(F.when(c.isNotNull(), c + 1 - F.col("_seq_nulls"))).over(own))
+    blocks = out.groupBy(F.col("_seq_block").alias("_seq_b")).agg(F.max("_seq_nulls").alias("_seq_n"), F.max("_seq_lift").alias("_seq_l")).withColumnRenamed("_seq_b", "_seq_block")
+    blocks = blocks.withColumn("_seq_p", F.coalesce(F.sum("_seq_n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_seq_base", F.col("_seq_p") + F.greatest(start, F.max(F.col("_seq_l") - F.col("_seq_p")).over(before))).select("_seq_block", "_seq_base")
+    made = F.greatest("_seq_base", "_seq_lift") + F.col("_seq_nulls") - 1
+    return out.join(blocks, "_seq_block").withColumn(column, F.coalesce(c, made)).select(*rows.columns)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.conditions import Conditions, access_rank, fold
 from lodestone.schema import Schema
+from lodestone.scratch import numbered
 
+#: The hidden row number. Names that begin so belong to the engine: no table can have them.
 SEQ = "_seq"
+#: Pages that end within so many rows are taken by a top-k of narrow state; beyond, rows are numbered in sorted order.
+TOP = 100_000
 
 
 @dataclass
@@ -66,15 +70,25 @@ def access_keys(schema: Schema, where: Conditions | None) -> list[Column]:
 
 
 def page(df: DataFrame, schema: Schema, q: Query) -> DataFrame:
-    """The rows of a query with their hidden number; offset and limit follow the access order."""
+    """The rows of a query with their hidden number; offset and limit follow the access order.
+
+    No plan brings more than TOP rows into one task. A far page is cut by numbers that the rows get in sorted
+    order, range by range, in a table of the scratch folder that is written when the plan is made.
+    """
     rows = matching(df, schema, q.where)
-    if q.begin > 0 or q.limit >= 0:
-        if q.limit == 0:
-            return rows.limit(0)
-        rows = rows.orderBy(*access_keys(schema, q.where))
-        rows = rows.offset(q.begin) if q.begin > 0 else rows
-        rows = rows.limit(q.limit) if q.limit >= 0 else rows
-    return rows
+    begin, end = max(q.begin, 0), max(q.begin, 0) + q.limit if q.limit >= 0 else None
+    if q.limit == 0:
+        return rows.limit(0)
+    if begin == 0 and end is None:
+        return rows
+    ordered = rows.orderBy(*access_keys(schema, q.where))
+    if end is None and begin <= TOP:
+        return rows.join(ordered.limit(begin).select(SEQ), SEQ, "left_anti").select(*df.columns)
+    if end is not None and end <= TOP:
+        return (ordered.offset(begin) if begin else ordered).limit(q.limit)
+    at = numbered(ordered, "_seq_at")
+    at = at.where(F.col("_seq_at") >= begin)
+    return (at if end is None else at.where(F.col("_seq_at") < end)).select(*df.columns)
 
 
 def select(df: DataFrame, schema: Schema, q: Query, ordered: bool = False) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from lodestone.functions.arith import compile_arithmetic, names
 
+FLOAT_MAX = 3.4028234663852886e38
+
 
 def literal(value: Any, to: T.DataType | None = None) -> Column:
     """A foldable literal of the column's own type where that loses nothing, so that the predicate reaches the scan."""
@@ -32,8 +34,15 @@ def literal(value: Any, to: T.DataType | None = None) -> Column:
         bits = {T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}.get(type(to))
         if bits and -(1 << bits) <= value < 1 << bits:
             return F.lit(value).cast(to)
-        if isinstance(to, T.DoubleType) and abs(value) <= 1 << 53:
+        if isinstance(to, T.FloatType) and abs(value) <= 1 << 24:
+            return F.lit(float(value)).cast(to)
+        if isinstance(to, T.DoubleType | T.FloatType) and abs(value) <= 1 << 53:
             return F.lit(float(value))
+    if isinstance(value, float):
+        if isinstance(to, T.FloatType) and not FLOAT_MAX < abs(value) < float("inf"):
+            return F.lit(value).cast(to)  # the FLOAT that is written so
+        if isinstance(to, T.IntegralType) and value.is_integer() and abs(value) <= 1 << 53:
+            return literal(int(value), to)
     return F.lit(value)
 
 
@@ -63,7 +72,7 @@ class Predicate:
             if op in _ORDER:
                 if v is None:
                     raise ValueError("null has no order")
-                one = F.coalesce(_ORDER[op](c, literal(v, to)), F.lit(False))
+                one = _ORDER[op](c, literal(v, to))  # bare, so that the bound reaches the scan; null where the operand is
             else:
                 one = c.isNull() if v is None else c.eqNullSafe(literal(v, to))
                 one = ~one if op == "!=" else one
@@ -177,7 +186,10 @@ def names_of(items: list[Item]) -> set[str]:
 
 
 def fold(items: list[Item], columns: dict[str, Column], types: dict[str, T.DataType], where: bool) -> Column:
-    """One Column: (((a op b) op c) ...); an empty group is false."""
+    """One Column: (((a op b) op c) ...); an empty group is false.
+
+    In a WHERE it may be null instead of false, which a filter takes alike; ``holds`` is for other uses.
+    """
     out: Column | None = None
     for clause, x in items:
         one = fold(x, columns, types, where) if isinstance(x, list) else x.to_column(columns, types, where)
@@ -185,6 +197,11 @@ def fold(items: list[Item], columns: dict[str, Column], types: dict[str, T.DataT
     return F.lit(False) if out is None else out
 
 
+def holds(items: list[Item], columns: dict[str, Column], types: dict[str, T.DataType]) -> Column:
+    """Whether a row matches a WHERE: true or false."""
+    return F.coalesce(fold(items, columns, types, True), F.lit(False))
+
+
 def access_rank(items: list[Item], columns: dict[str, Column], types: dict[str, T.DataType]) -> Column:
     """Null for rows that don't match, else the number of the predicate that brought the row in."""
     rank: Column | None = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,10 +13,12 @@ from lodestone.functions import scalar as S
 from lodestone.functions.arith import compile_arithmetic
 from lodestone.operators import constraints as C
 from lodestone.operators import rewrite as R
-from lodestone.operators.referential import Statement, rewritten
+from lodestone.operators.referential import NEW, OLD, Statement, rewritten
 from lodestone.operators.select import SEQ, Query, select
 from lodestone.plans.conditions import Conditions, condition, where
 from lodestone.schema import CASCADE, RESTRICT, SET_DEFAULT, SET_NULL, ForeignKey, Schema
+from lodestone.scratch import fresh, numbered
+from lodestone.sources.storage import parquet_table
 from lodestone.types import DataType
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -166,39 +168,21 @@ def _keyed(spark, sf):
     return load(spark, sf, "orders", "o_orderkey")
 
 
-@query(f"SELECT event_id, value FROM (SELECT * FROM {EVENTS} ORDER BY value ASC NULLS FIRST, event_id LIMIT 2000)")
-def order_nulls_asc(spark, sf):
-    """Nulls come first: the first 2000 rows of the ascending order."""
-    df = _events(spark, sf).withColumn(SEQ, F.col("event_id"))
-    return _pick(df, None, "event_id, value", order=("value", True)).limit(2000)
-
-
-@query(f"SELECT event_id, value FROM (SELECT * FROM {EVENTS} ORDER BY value DESC NULLS LAST, event_id LIMIT 9000)")
-def order_nulls_desc(spark, sf):
-    df = _events(spark, sf).withColumn(SEQ, F.col("event_id"))
-    return _pick(df, None, "event_id, value", order=("value", False)).limit(9000)
-
-
 def _positions(spark: SparkSession, sf: str, ascending: bool) -> DataFrame:
-    """Every event and its position in the operator's order: that in its sorted partition, behind those before; only counts of partitions meet in one task."""
+    """Every event and its position in the operator's order."""
     df = _events(spark, sf).withColumn(SEQ, F.col("event_id"))
-    rows = _pick(df, None, "event_id, value", order=("value", ascending)).withColumn("_at", F.monotonically_increasing_id())
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():  # the cluster names none, as in tests
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    rows = rows.checkpoint().withColumn("_part", F.shiftright("_at", 33))  # both reads below see the same partitions
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    position = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return rows.join(F.broadcast(parts), "_part").select("event_id", "value", position.alias("position"))
+    return numbered(_pick(df, None, "event_id, value", order=("value", ascending)), "position", 1)
 
 
 @query(f"SELECT event_id, value, row_number() OVER (ORDER BY value ASC NULLS FIRST, event_id) AS position FROM {EVENTS}")
-def order_nulls_asc_all(spark, sf):
+def order_nulls_asc(spark, sf):
+    """Nulls come first."""
     return _positions(spark, sf, True)
 
 
 @query(f"SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS position FROM {EVENTS}")
-def order_nulls_desc_all(spark, sf):
+def order_nulls_desc(spark, sf):
+    """Nulls come last."""
     return _positions(spark, sf, False)
 
 
@@ -268,7 +252,7 @@ def fk_restrict_blockers(spark, sf):
 
 
 def _moved(df: DataFrame, old: str, new: Column | None = None) -> DataFrame:
-    return df.select(F.col(old).alias("_o0"), *([new.alias("_n0")] if new is not None else []))
+    return df.select(F.col(old).alias(f"{OLD}0"), *([new.alias(f"{NEW}0")] if new is not None else []))
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey < 2 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
@@ -444,10 +428,13 @@ def ts_diff(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", *(S.date_difference(F.col("o_orderdate"), to, u).alias(u) for u in ("days", "hours")))
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS filled, true AS recent FROM nation")
 def current_timestamp(spark, sf):
+    """How many rows, how many with a time, and whether all times are of the last hour."""
     df = load(spark, sf, "nation").withColumn("at", F.lit(None).cast("timestamp_ntz"))
-    return R.update(df, schema_of(df), Query(), R.Update().column("at").current_timestamp())
+    df = R.update(df, schema_of(df), Query(), R.Update().column("at").current_timestamp())
+    age = F.abs(F.timestamp_diff("SECOND", F.col("at"), F.localtimestamp()))
+    return df.agg(F.count("*").alias("n"), F.count("at").alias("filled"), F.every(age < 3600).alias("recent"))
 
 
 # -- insert and constraints -----------------------------------------------------------------------
@@ -516,6 +503,230 @@ def txn_commit(spark, sf):
     return e.commit().commit().select("*").from_("nation").to_df()
 
 
-@query()
+_NATION_COLUMNS = (("n_nationkey", "INT", 4, "PRIMARY KEY, NOT NULL", None), ("n_name", "CHAR", TEXT, "", None), ("n_regionkey", "INT", 4, "", "0"))
+
+
+def _values(rows: tuple[tuple, ...], names: str) -> str:
+    def one(v: object) -> str:
+        return "NULL" if v is None else str(v) if isinstance(v, int | bool) else f"'{v}'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(_values(_NATION_COLUMNS, '"column", "type", "size", "constraints", "default"'))
 def describe_table(spark, sf):
     return _engine(spark, sf).describe_table("nation")
+
+
+_TABLES = tuple((t, c, k) for t, cs in (("nation", _NATION_COLUMNS), ("region", (("r_regionkey", "INT"), ("r_name", "CHAR")))) for c, k, *_ in cs)
+
+
+@query(_values(_TABLES, '"table", "column", "type"'))
+def describe_database(spark, sf):
+    return _engine(spark, sf).describe_database()
+
+
+@query(_values(tuple(("main", *r) for r in _TABLES), '"database", "table", "column", "type"'))
+def describe_all(spark, sf):
+    return _engine(spark, sf).add_database("other").describe_all()
+
+
+# Statements through the engine, over whole tables.
+
+
+def _shop(spark: SparkSession, sf: str, path: str | None = None, on_delete: str = CASCADE, on_update: str = RESTRICT) -> Engine:
+    """Customers, orders and lines, each a child of the one before."""
+    e = Engine(spark, path).add_database("shop")
+    for name, key, own, parent, its in (("customer", "c_custkey", "", "", ""), ("orders", "o_orderkey", "o_custkey", "customer", "c_custkey"), ("lineitem", None, "l_orderkey", "orders", "o_orderkey")):
+        df = parquet_table(spark, f"{sf}/{name}.parquet")
+        s = schema_of(df, key, **({own: 1} if own else {}))
+        e.create_table(name, s.foreign_key(f"{name}_{parent}", own, parent, its, on_delete, on_update) if parent else s, df)
+    return e
+
+
+def _count(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _raised(run: Callable[[], object]) -> bool:
+    try:
+        run()
+    except Exception:
+        return True
+    return False
+
+
+@query("SELECT p_name, row_number() OVER (ORDER BY p_partkey) + 500 AS id, 'new' AS state FROM part UNION ALL SELECT 'first', 500, NULL")
+def engine_insert(spark, sf):
+    """Rows get defaults for what they leave out and numbers behind the largest one that was given."""
+    s = Schema().column("id", auto_increment=True, primary=True).column("p_name", "CHAR", 60, required=True).column("state", "CHAR", 9, default="new")
+    e = Engine(spark).add_database("main").create_table("t", s)
+    e.insert("t", {"p_name": "first", "id": 500, "state": None})
+    e.insert_df("t", load(spark, sf, "part").orderBy("p_partkey").select("p_name"))
+    return e.select("p_name, id, state").from_("t").to_df()
+
+
+@query("SELECT 3 AS refused, (SELECT count(*) FROM nation) AS n")
+def engine_insert_error(spark, sf):
+    """A repeated key, an orphan and a broken expression: none of their rows stays."""
+    e = _engine(spark, sf)
+    rows = load(spark, sf, "nation").select((F.col("n_nationkey") + 1000).alias("n_nationkey"), "n_name", "n_regionkey")
+    bad = (rows.withColumn("n_nationkey", F.when(F.col("n_nationkey") == 1007, 7).otherwise(F.col("n_nationkey"))), rows.withColumn("n_regionkey", F.col("n_regionkey") + 1), rows.withColumn("n_regionkey", F.expr("100 div n_regionkey")))
+    refused = sum(_raised(lambda df=df: e.insert_df("nation", df)) for df in bad)
+    return e.table("nation").agg(F.lit(refused).alias("refused"), F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN (p_size + 1) * 2 ELSE p_size END::INTEGER AS p_size FROM part")
+def engine_update(spark, sf):
+    df = load(spark, sf, "part")
+    e = Engine(spark).add_database("main").create_table("part", schema_of(df, "p_partkey"), df)
+    e.update("part", R.Update().column("p_size").operation("p_size + 1").operation("p_size * 2").column("p_name").apply(S.upper_case()), where("p_size").is_bigger(25))
+    return e.select("p_partkey, p_name, p_size").from_("part").to_df()
+
+
+@query("SELECT p_partkey, p_size, 5 AS refused FROM part")
+def engine_update_error(spark, sf):
+    """Division by zero, overflow, a null operand, a bad cast and a check that breaks late: each is refused whole."""
+    df = load(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.when(F.col("p_partkey") % 50 != 0, F.col("p_size")).alias("spare"))
+    s = schema_of(df, "p_partkey").check("least", condition("p_size").is_bigger_or_equal(1))
+    e = Engine(spark).add_database("main").create_table("part", s, df)
+    size = lambda: R.Update().column("p_size")
+    bad = (size().operation("100 / (p_size - 7)"), size().operation("p_size + 9223372036854775807"), size().operation("p_size + spare"), size().apply(lambda _: F.col("p_name")), size().operation("p_size - 49"))
+    refused = sum(_raised(lambda u=u: e.update("part", u)) for u in bad)
+    return e.select("p_partkey, p_size").from_("part").to_df().withColumn("refused", F.lit(refused))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 2000))")
+def engine_delete(spark, sf):
+    """Customers go, their orders, and the lines of those."""
+    e = _shop(spark, sf)
+    e.delete("customer", where("c_acctbal").is_smaller(2000))
+    return e.select("l_orderkey, l_linenumber, l_partkey").from_("lineitem").to_df()
+
+
+@query("SELECT true AS refused, (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM lineitem) AS lines")
+def engine_delete_restrict(spark, sf):
+    e = _shop(spark, sf, on_delete=RESTRICT)
+    refused = _raised(lambda: e.delete("customer", where("c_acctbal").is_smaller(2000)))
+    return spark.range(1).select(F.lit(refused).alias("refused"), _count(e.size("customer")).alias("customers"), _count(e.size("lineitem")).alias("lines"))
+
+
+@query("SELECT o_orderkey, o_custkey + 1000000 AS o_custkey FROM orders")
+def engine_update_cascade(spark, sf):
+    """Customers get other keys, and orders follow."""
+    e = _shop(spark, sf, on_update=CASCADE)
+    e.update("customer", R.Update().column("c_custkey").operation("c_custkey + 1000000"))
+    return e.select("o_orderkey, o_custkey").from_("orders").to_df()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000 AND c_custkey <> 1) THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
+def engine_delete_set_null(spark, sf):
+    """Keys of customers that are gone become null, which refers to nothing."""
+    e = _shop(spark, sf, on_delete=SET_NULL)
+    e.delete("customer", where("c_acctbal").is_smaller(2000).AND().column("c_custkey").is_not_equal(1))
+    return e.select("o_orderkey, o_custkey").from_("orders").to_df()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000 AND c_custkey <> 1) THEN 1 ELSE o_custkey END AS o_custkey FROM orders")
+def engine_delete_set_default(spark, sf):
+    e = _shop(spark, sf, on_delete=SET_DEFAULT)
+    e.delete("customer", where("c_acctbal").is_smaller(2000).AND().column("c_custkey").is_not_equal(1))
+    return e.select("o_orderkey, o_custkey").from_("orders").to_df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000 ORDER BY o_orderkey LIMIT 40 OFFSET 7)")
+def engine_select_unselected_order(spark, sf):
+    """A page, sorted by a column that is not selected."""
+    e = _shop(spark, sf)
+    return e.select("o_orderkey").from_("orders").where(where("o_totalprice").is_bigger(50000)).begin(7).limit(40).DEC("o_totalprice").to_df()
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+def engine_reopen(spark, sf):
+    """What was committed is there for the next engine over the same path; what was not is not."""
+    path = fresh(spark, "database")
+    e = _shop(spark, sf, path)
+    e.delete("orders", where("o_orderstatus").is_equal("F"))
+    e.begin().delete("lineitem")
+    e.rollback().close()
+    e.begin().delete("orders")
+    again = Engine(spark, path).add_database("shop")
+    for name in ("customer", "orders", "lineitem"):
+        again.create_table(name, e.schema(name))
+    return again.select("o_orderkey, o_orderstatus").from_("orders").to_df()
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS orders, EXISTS (SELECT 1 FROM orders WHERE o_custkey = 7) AS seven, false AS minus")
+def engine_size_and_contains(spark, sf):
+    e = _shop(spark, sf)
+    return spark.range(1).select(_count(e.size("orders")).alias("orders"), F.lit(e.contains("orders", "o_custkey", 7)).alias("seven"), F.lit(e.contains("orders", "o_custkey", -7)).alias("minus"))
+
+
+@query("SELECT 0 AS in_transaction, count(*) AS after_rollback, (SELECT count(*) FROM orders) AS at_last FROM orders")
+def engine_snapshots(spark, sf):
+    """A select inside a transaction sees its changes, one made before it goes on seeing what was there."""
+    e = _shop(spark, sf)
+    before = e.select().from_("orders").to_df()
+    e.begin().delete("orders")
+    inside = e.size("orders")
+    e.rollback()
+    after = e.size("orders")
+    e.begin().delete("orders")
+    e.commit()
+    return before.agg(F.lit(inside).alias("in_transaction"), _count(after).alias("after_rollback"), F.count("*").alias("at_last"))
+
+
+_GUARDS = (
+    ("check of an unknown column", lambda e: Schema().column("a", "INT").check("c", condition("b").is_null()).validate({})),
+    ("expression with an unknown column", lambda e: Schema().column("a", "INT").check("c", condition().expression("a + b").is_bigger(1)).validate({})),
+    ("foreign key to no key", lambda e: Schema().column("a", "CHAR", 9).foreign_key("f", "a", "nation", "n_name").validate({"nation": e.schema("nation")})),
+    ("foreign key of another type", lambda e: Schema().column("a", "LONG").foreign_key("f", "a", "nation", "n_nationkey").validate({"nation": e.schema("nation")})),
+    ("foreign key of another length", lambda e: Schema().column("a", "INT").foreign_key("f", ["a", "a"], "nation", "n_nationkey").validate({"nation": e.schema("nation")})),
+    ("foreign key to no table", lambda e: Schema().column("a", "INT").foreign_key("f", "a", "nowhere", "a").validate({})),
+    ("group in a where", lambda e: where("a").is_null().AND().open()),
+    ("parent is dropped", lambda e: e.drop_table("region")),
+    ("second column without a connective", lambda e: where("a").is_null().column("b")),
+    ("table twice", lambda e: e.create_table("nation", e.schema("nation"))),
+    ("unknown column in a select", lambda e: e.select("nothing").from_("nation").to_df()),
+    ("unknown column in a where", lambda e: e.select().from_("nation").where(where("nothing").is_null()).to_df()),
+    ("unknown table", lambda e: e.size("nothing")),
+)
+
+
+@query(_values(tuple((n, True) for n, _ in _GUARDS), '"rule", "refused"'))
+def engine_guards(spark, sf):
+    """What is refused before any row is read."""
+    e = _engine(spark, sf)
+    return spark.createDataFrame([(n, _raised(lambda f=f: f(e))) for n, f in _GUARDS], "rule string, refused boolean")
+
+
+@query("SELECT count(*) AS violations FROM nation")
+def check_empty_group(spark, sf):
+    """A group without conditions is false for every row."""
+    df = load(spark, sf, "nation")
+    return C.check_violations(df, schema_of(df).check("none", condition().open().close()), "none").agg(F.count("*").alias("violations"))
+
+
+BULK = 1_000_000
+
+
+def bulk(spark: SparkSession) -> Engine:
+    """A table with a text key and an indexed number, filled in one statement."""
+    s = Schema().column("username", "CHAR", 50, primary=True).column("num", "INT", index=True).column("message", "CHAR", 10).column("data", "BYTE", 10, required=True, default=bytes(10))
+    e = Engine(spark).add_database("main").create_table("users", s)
+    e.begin().insert_df("users", spark.range(BULK).select(F.concat(F.lit("INSERTION"), "id").alias("username"), F.col("id").cast("int").alias("num"), F.lit("TEST").alias("message")))
+    return e.commit()
+
+
+@query(f"SELECT {BULK} AS deleted, 0 AS in_transaction, {BULK} AS after_rollback, 11 AS few, 10001 AS some, {BULK} AS every")
+def bulk_rollback(spark, sf):
+    """A million rows: insert, delete all, roll back, then ranges of three widths."""
+    e = bulk(spark)
+    deleted = e.begin().delete("users")
+    seen = [deleted, e.size("users")]
+    e.rollback()
+    seen.append(e.size("users"))
+    for low, high in ((1000, 1010), (10000, 20000), (0, BULK - 1)):
+        seen.append(e.select("username").from_("users").where(where("num").is_bigger_or_equal(low).is_smaller_or_equal(high)).to_df().count())
+    names = ("deleted", "in_transaction", "after_rollback", "few", "some", "every")
+    return spark.range(1).select(*(F.lit(v).cast("int").alias(n) for v, n in zip(seen, names, strict=True)))

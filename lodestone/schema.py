@@ -113,12 +113,15 @@ class Schema:
     def validate(self, tables: dict[str, Schema]) -> Schema:
         """Raises SchemaError at the first rule that is broken; ``tables`` are those a foreign key may name."""
         seen: set[str] = set()
+        folded: set[str] = set()
         if not self.columns:
             raise SchemaError("a table needs a column")
         for c in self.columns:
-            if not c.name or c.name in seen or c.name.startswith("_seq"):
+            # names that differ in case only are one name to Spark; those that begin with _seq are the engine's own
+            if not c.name or c.name.lower() in folded or c.name.lower().startswith("_seq"):
                 raise SchemaError(f"bad or repeated column name {c.name!r}")
             seen.add(c.name)
+            folded.add(c.name.lower())
             if c.type is None:
                 raise SchemaError(f"column {c.name} has no type")
             if c.type.fixed_size is None and not (c.size and c.size > 0):

@@ -46,7 +46,7 @@ def test_query(spark, duck, name):
     assert rows == got
 
 
-@pytest.mark.parametrize("name, nulls_first", [("order_nulls_asc_all", True), ("order_nulls_desc_all", False)])
+@pytest.mark.parametrize("name, nulls_first", [("order_nulls_asc", True), ("order_nulls_desc", False)])
 def test_order_has_every_row_and_both_kinds(spark, name, nulls_first):
     """Cut into several sorted partitions, whatever the size of the table."""
     kept = spark.conf.get("spark.sql.adaptive.enabled")
