@@ -9,24 +9,28 @@ one shingle); documents with at least SIMILARITY are linked, and a class is what
    that is covered in part is thinned and counts up to c cost log c processes. Component k holds the
    identity of the earliest point: two documents agree on it with probability equal to their similarity.
    Processes stop at the time by which all components of the document have a point.
-2. Identical multisets collapse first, by a 128-bit key, into the smallest doc_id (map-side combined).
+2. Identical multisets collapse first, by a 128-bit content key (map-side combined), into one text, which gets a
+   number of its own; doc_ids play no part in what follows until classes are named.
 3. Bands. ROWS components make a band key; BANDS of them catch a pair at the threshold but for
    (1 - 0.8^4)^20 = 3e-5, and more similar ones still more surely.
 4. Links. First each bucket offers its smallest member, the hub, to all others: one pair a member, distinct
    over buckets, checked exactly on the multisets. Only buckets whose members these links leave in more than
    one component go on. Of those with at most SMALL members the remaining pairs are checked one by one. The
-   members of a larger one are dealt into blocks of about BLOCK; each pair of blocks is one group, small
-   whatever the bucket's size, in which a matrix product counts what all pairs have in common and which
-   answers with a spanning forest. So every pair that shares a band is checked or already connected, and no
-   group's pairs are ever rows.
+   members of a larger one are dealt into blocks of about BLOCK texts and BLOCK_SHINGLES shingles; each pair of
+   blocks is one group, small whatever the bucket's size, in which a matrix product counts what all pairs have
+   in common and which answers with a spanning forest. So every pair that shares a band is checked or already
+   connected, and no group's pairs are ever rows.
 5. Components by smallest label with pointer jumping, on tables in the shared folder.
 
-Hot keys: copies are gone before banding; buckets are joined to their hub by plain equi-joins whose large
-side adaptive execution may split, and hubs come from map-side combined minima. Nothing is collected. A
+Hot keys: copies are gone before banding, and hubs come from map-side combined minima. Where many rows meet one
+row of a key (copies and their class, neighbours and their hub's label), the keys' counts are known: the hot ones,
+of which there can only be few, are broadcast, the others shuffle (common.join_counted). Nothing is collected. A
 bucket of n mutually unlinked texts costs n^2 / BLOCK rows of block input, spread over as many groups.
 
-Defined cases: null and empty texts are alone in their class; texts without words but with other
-characters match only equal texts; rows that repeat a doc_id share its class; null doc_ids are left out.
+Defined cases: null and empty texts are alone in their class (with those of the same doc_id); texts without words
+but with other characters match only equal texts; null doc_ids are left out. Rows that repeat a doc_id are rows of
+their own: each is in the class of its text. A text of any length is one multiset; a pair of texts and a block of
+them must fit in a task's memory. An empty table gives no rows. Extra columns are not read; ``keep_one`` returns them.
 """
 
 from __future__ import annotations
@@ -39,14 +43,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, ready, sized, written
+from lodestone.llm.common import by_rows, discard, join_counted, named, ready, sized, written
 from lodestone.llm.words import mix, raw, tokens, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
-#: Largest bucket whose pairs are checked singly, and members of a block of a larger one.
-SMALL, BLOCK = 8, 256
+#: Largest bucket whose pairs are checked singly; members and shingles (on average) of a block of a larger one.
+SMALL, BLOCK, BLOCK_SHINGLES = 8, 256, 1 << 20
 _G = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Points drawn at once, over all processes that still run.
@@ -140,6 +144,27 @@ def content_keys(row: np.ndarray, element: np.ndarray, count: np.ndarray, rows:
     return mix(out)
 
 
+def _keyed(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
+    """(first row, rows, keys, whether without words, row of each element, element, count) for groups of rows.
+
+    A text without words has its bytes as content; the empty one has its doc_id.
+    """
+    data, offsets = raw(texts)
+    for first, n, row, element, count in multisets(texts):
+        key, own = content_keys(row, element, count, n), ids[first : first + n]
+        bare = np.bincount(row, minlength=n) == 0
+        for i in np.flatnonzero(bare):
+            text = data[offsets[first + i] : offsets[first + i + 1]]
+            if len(text):
+                pad = np.zeros(-(-len(text) // 8) * 8, np.uint8)
+                pad[: len(text)] = text
+                w = mix(pad.view(np.uint64) + (np.arange(len(pad) // 8, dtype=np.uint64) + np.uint64(len(text))) * _G)
+                key[i] = mix(w.sum(dtype=np.uint64)), mix((w * w).sum(dtype=np.uint64))
+            else:
+                key[i] = np.array([own[i], -1]).astype(np.int64).view(np.uint64)
+        yield first, n, np.ascontiguousarray(key.T).view(np.int64), bare, row, element, count
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (the content key), bands array<bigint>, null for a text without words."""
     ready(docs.sparkSession)
@@ -147,56 +172,48 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            data, offsets = raw(batch.column(1))
-            for first, n, row, element, count in multisets(batch.column(1)):
-                key, own = content_keys(row, element, count, n), ids[first : first + n]
-                bare = np.bincount(row, minlength=n) == 0
-                for i in np.flatnonzero(bare):
-                    text = data[offsets[first + i] : offsets[first + i + 1]]
-                    if len(text):
-                        pad = np.zeros(-(-len(text) // 8) * 8, np.uint8)
-                        pad[: len(text)] = text
-                        w = mix(pad.view(np.uint64) + (np.arange(len(pad) // 8, dtype=np.uint64) + np.uint64(len(text))) * _G)
-                        key[i] = mix(w.sum(dtype=np.uint64)), mix((w * w).sum(dtype=np.uint64))
-                    else:
-                        key[i] = np.array([own[i], -1]).astype(np.int64).view(np.uint64)
+            for first, n, key, bare, row, element, count in _keyed(ids, batch.column(1)):
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sign(row, element, count, n)).ravel()), BANDS).cast(pa.list_(pa.int64()))
                 bands = pc.if_else(pa.array(~bare), bands, pa.scalar(None, bands.type))
-                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.ascontiguousarray(key[:, k]).view(np.int64)) for k in (0, 1)), bands], ["doc_id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + n]), pa.array(key[0]), pa.array(key[1]), bands], ["doc_id", "k1", "k2", "bands"])
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set binary) for the documents with these ids: the multiset as sorted hashes of (shingle, occurrence)."""
-    wanted = docs.select("doc_id", "text").join(sized(ids), "doc_id", "left_semi")
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, size, set binary) for texts (node, doc, k1, k2): the multiset as sorted hashes of (shingle, occurrence).
+
+    Only documents whose doc_id one of the texts names are read again, and of these the rows with its content.
+    """
+    wanted = docs.select("doc_id", "text").join(sized(nodes.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, row, element, count in multisets(batch.column(1)):
+            for _, n, key, _, row, element, count in _keyed(batch.column(0).to_numpy(), batch.column(1)):
                 nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 h, own = mix(np.repeat(element, count) + nth.astype(np.uint64) * _G), np.repeat(row, count)
                 at = np.searchsorted(own, np.arange(n + 1))
                 sets = [np.sort(h[at[i] : at[i + 1]]).tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sets, pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(np.diff(at)), pa.array(sets, pa.binary())], ["k1", "k2", "size", "set"])
 
-    return wanted.mapInArrow(run, "id bigint, set binary")
+    sets = wanted.mapInArrow(run, "k1 bigint, k2 bigint, size bigint, set binary").dropDuplicates(["k1", "k2"])
+    return sets.join(nodes.select(F.col("node").alias("id"), "k1", "k2"), ["k1", "k2"]).select("id", "size", "set")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_sets(docs, ids).dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b").select("a", "b", "sa", "sb")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_sets(docs, texts.select("node", "doc", "k1", "k2").join(sized(ids), "node")), "sets")
+    small = F.least("size_a", "size_b") >= F.lit(SIMILARITY) * F.greatest("size_a", "size_b")  # else they cannot be similar
+    sizes = sets.select("id", "size")
+    likely = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(small).select("a", "b")
+    both = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -211,18 +228,20 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of a link the smallest node that links connect it to."""
     ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "ways")
-    labels = written(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    labels = written(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("n")), "labels")
     while True:
-        heard = ways.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
-        low = labels.join(heard, F.col("node") == F.col("a")).select("node", "label", F.least("label", "heard").alias("low"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("its"))
-        step = written(low.join(jump, F.col("low") == F.col("at"), "left").select("node", "label", F.least("low", F.coalesce("its", "low")).alias("new")), "labels")
+        heard = join_counted(ways, labels.select(F.col("node").alias("b"), "label", "n"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        low = written(labels.join(heard, "node").select("node", "n", "label", F.least("label", "heard").alias("low")), "low")
+        far = labels.select(F.col("node").alias("low"), F.col("label").alias("its"))
+        jump = low.groupBy("low").agg(F.count("*").alias("rows")).join(far, "low")
+        step = written(join_counted(low, jump, ["low"], "rows").select("node", "n", "label", F.least("low", "its").alias("new")), "labels")
         changed = not step.where("new < label").isEmpty()
         discard(labels)
-        labels = step.select("node", F.col("new").alias("label"))
+        discard(low)
+        labels = step.select("node", F.col("new").alias("label"), "n")
         if not changed:
             discard(ways)
-            return labels
+            return labels.select("node", "label")
 
 
 def _forest(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,12 +278,11 @@ def _forest(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tupl
     return nodes[root[other]], nodes[other]
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Links (a, b) within large buckets, from rows (key, n, node, set)."""
-    nb = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("nb")).cast("int"))
-    dealt = dealt.select("key", "node", "own", "set", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "set")
+def _blocks(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Links (a, b) within large buckets, from rows (key, node, set) and each bucket's number of blocks (key, nb)."""
+    rows = rows.join(sized(dealt), "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("nb")).cast("int"))
+    rows = rows.select("key", "node", "own", "set", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "set")
 
     def run(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
@@ -272,22 +290,21 @@ def _blocks(rows: DataFrame) -> DataFrame:
         a, b = _forest(node, group.column("own").to_numpy(), sets)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: one row for each row of ``docs`` with a doc_id; class_id is the smallest doc_id of its class."""
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables in the shared folder: (doc_id, k1, k2) of each row with a doc_id, and of each content key
+    (k1, k2, n rows, class_id, keeper: the doc_id that stands for the class if it is with this text, else null)."""
     signed = written(signatures(docs), "signed")
-    first = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    members = written(
-        signed.join(first, ["k1", "k2"]).select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
-    )
-    discard(signed)
-    buckets = members.where("bands is not null").select(F.explode("bands").alias("key"), "node")
+    # one text for each content key, the bands of which are the same in all its rows; its number is fixed by writing it
+    texts = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    buckets = texts.where("bands is not null").select(F.explode("bands").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
     live = written(buckets.join(shared.select("key", "hub", "n"), "key"), "live")
     pairs = written(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _linked(pairs, docs)
+    links = _linked(pairs, texts, docs)
     labels = components(links)
     now = live.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
     unclear = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -296,29 +313,59 @@ def classes(docs: DataFrame) -> DataFrame:
     small = now.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("m"))
     each = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     rest = written(small.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(rest, docs)
-    large = now.where(F.col("n") > SMALL)
-    sets = written(_sets(docs, large.select(F.col("node").alias("doc_id")).distinct()).dropDuplicates(["id"]), "sets")
-    block = written(_blocks(large.join(sets, F.col("node") == F.col("id")).select("key", "n", "node", "set")), "links")
+    more = _linked(rest, texts, docs)
+    large = now.where(F.col("n") > SMALL).select("key", "n", "node")
+    sets = written(_sets(docs, texts.select("node", "doc", "k1", "k2").join(sized(large.select("node").distinct()), "node")), "sets")
+    load = large.join(sets.select(F.col("id").alias("node"), "size"), "node").groupBy("key").agg(F.max("n").alias("n"), F.sum("size").alias("size"))
+    dealt = load.select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    block = written(_blocks(large.select("key", "node").join(sets.select(F.col("id").alias("node"), "set"), "node"), dealt), "links")
     found = links.union(more).union(block)
     if not (more.isEmpty() and block.isEmpty()):
         labels = components(found)
-    for x in (pairs, rest, now, sets, found):
+    linked = texts.select("node", "k1", "k2", "doc").join(labels, "node")
+    best = linked.groupBy("label").agg(F.min(F.struct("doc", "k1", "k2")).alias("best"), F.count("*").alias("rows"))
+    own = join_counted(linked, best, ["label"], "rows").select("node", F.col("best.doc").alias("class"), (F.col("best") == F.struct("doc", "k1", "k2")).alias("first"))
+    classed = texts.select("node", "k1", "k2", "n", "doc").join(own, "node", "left")
+    classed = written(classed.select("k1", "k2", "n", F.coalesce("class", "doc").alias("class_id"), F.when(F.coalesce("first", F.lit(True)), F.col("doc")).alias("keeper")), "classed")
+    for x in (pairs, rest, now, sets, found, texts):
         discard(x)
-    return members.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
+    return signed.select("doc_id", "k1", "k2"), classed
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id: one row for each row of ``docs`` with a doc_id; class_id is the smallest doc_id of its class.
+
+    Only where that doc_id is on several rows with different texts can two classes have the same name.
+    """
+    rows, classed = text_classes(docs)
+    return join_counted(rows, classed.drop("keeper"), ["k1", "k2"]).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that have a near copy with a smaller doc_id; rows without doc_id stay.
+    """One row of each class, with its columns; rows without doc_id stay.
 
-    Rows that repeat both doc_id and text are copies too: one of them stays.
+    It is the row with the smallest doc_id of the class; of rows that have this doc_id and texts of the class, one
+    with the least content key, and of those with the same content the one whose columns have the least hash.
     """
-    found = written(classes(docs), "classes")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, classed = text_classes(docs)
+    fate = join_counted(rows, classed.drop("class_id"), ["k1", "k2"]).select("doc_id", F.coalesce(F.col("keeper") == F.col("doc_id"), F.lit(False)).alias("stays"))
+    ids = written(fate.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("stays").alias("stays")).where("rows > 1 or not stays"), "fates")
+    names = docs.columns
+    kept = docs.join(sized(ids.select("doc_id")), "doc_id", "left_anti").select(*map(named, names))
+    twice = ids.where("rows > 1 and stays").select("doc_id")
     if twice.isEmpty():
         return kept
-    twice = sized(twice)
-    again = docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
+    # rows that share their doc_id: by their content, which is computed again for them alone
+    again = docs.join(sized(twice), "doc_id", "left_semi").select(*map(named, names))
+    again = by_rows(again, names, [F.col("doc_id"), F.col("text")], "_k1 bigint, _k2 bigint", lambda: _content)
+    again = again.toDF(*(f"c{i}" for i in range(len(names))), "k1", "k2").withColumn("doc", F.col(f"c{names.index('doc_id')}"))
+    right = classed.where("keeper is not null").select("k1", "k2", F.col("keeper").alias("doc"))
+    columns = [f"c{i}" for i in range(len(names))]
+    again = again.join(right, ["doc", "k1", "k2"], "left_semi").groupBy("doc", "k1", "k2").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return kept.unionAll(again.select("row.*"))
+
+
+def _content(ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
+    key = [k for _, _, k, *_ in _keyed(ids.to_numpy(), texts)]
+    both = np.concatenate(key, axis=1) if key else np.zeros((2, 0), np.int64)
+    return [pa.array(both[0]), pa.array(both[1])]

@@ -1,19 +1,27 @@
-"""What the operators share: reading tables, the shared scratch folder, shipping code."""
+"""What the operators share: reading tables, shipping code, rows through Python, joins with hot keys."""
 
 from __future__ import annotations
 
 import os
-import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from lodestone.scratch import discard, fresh, scratch, written
+
+__all__ = ["by_rows", "discard", "fresh", "join_counted", "named", "others", "ready", "scratch", "sized", "table", "written"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Broadcast joins are used up to this many rows of a narrow table; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Rows of a batch that goes to Python, where the session has the default: texts and multisets are wide rows.
 BATCH_ROWS = 500
+#: A key with so many rows is a hot one; with more rows in all than HOT * HOT_KEYS it takes more, so that hot keys stay few.
+HOT, HOT_KEYS = 100, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Make this package importable on the executors (once for each context), and keep batches small.
 
-    Where PYTHONPATH already has it (a cluster image, a test run) nothing is sent.
+    Where PYTHONPATH already has it (a cluster image, a test run) nothing is sent. The batch size is a setting of the
+    session, since a plan reads it when it runs; a session that sets its own keeps it.
     """
     sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -44,38 +53,53 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it names none, as in tests, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file:///tmp/checkpoints/lodestone-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def named(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+def others(df: DataFrame, new: str) -> list[str]:
+    """The columns of ``df`` but those that have the name of one of the columns that the DDL text ``new`` tells."""
+    taken = {f.name.lower() for f in StructType.fromDDL(new)}
+    return [c for c in df.columns if c.lower() not in taken]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, from a table in the shared folder: the lineage ends here and survives a lost executor."""
-    spark = df.sparkSession
-    at = fresh(spark, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+def by_rows(df: DataFrame, keep: list[str], inputs: list[Column], new: str, make: Callable[[], Callable[..., list[pa.Array]]], rows: int | None = None) -> DataFrame:
+    """Columns ``keep``, then the columns ``new`` (DDL), which Python computes from ``inputs``, row by row.
+
+    Columns travel by position, so that none of their names can clash with another. ``make`` is called once in a
+    task and gives a function from the inputs' Arrow arrays, ``rows`` rows at a time, to the new columns.
+    """
+    ready(df.sparkSession)
+    fields, kept = StructType.fromDDL(new).fields, [df.schema[c] for c in keep]
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept, *fields])])
+    base = df.select(*(named(c).alias(f"k{i}") for i, c in enumerate(keep)), *(x.alias(f"i{i}") for i, x in enumerate(inputs)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows or max(1, whole.num_rows)):
+                batch = whole.slice(at, rows)
+                columns = [*batch.columns[: len(kept)], *one(*batch.columns[len(kept) :])]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made and nothing reads any more."""
-    spark = df.sparkSession
-    top = scratch(spark).split("://")[-1].removeprefix("file:")
-    for d in {os.path.dirname(f) for f in df.inputFiles()}:
-        if top in d:
-            p = spark._jvm.org.apache.hadoop.fs.Path(d)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return base.mapInArrow(run, schema).toDF(*keep, *(f.name for f in fields))
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most BROADCAST_ROWS narrow rows, else unhinted."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Inner join of many rows with one narrow row for each key, whose column ``count`` says how many rows have that key.
+
+    Hot keys, HOT_KEYS at most, are broadcast; the others shuffle and none of them has many rows. ``count`` is left out.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = max(HOT, -(-total // HOT_KEYS))
+    few, many = side.where(F.col(count) >= hot).drop(count), side.where(F.col(count) < hot).drop(count)
+    a = rows.join(F.broadcast(few), keys)
+    b = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys)
+    return a.unionByName(b)
