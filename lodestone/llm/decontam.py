@@ -1,20 +1,22 @@
 """Benchmark decontamination by templates.
 
-Canonical tokens: a number (with its points and commas) becomes NUMBER, a capitalised word that does not open a sentence becomes NAME, a
-unit behind a number becomes UNIT; every other word is itself, without case. Windows of WINDOW canonical
-tokens of documents and benchmark items are joined on their hash. Items of LEAST to WINDOW - 1 tokens are
-one window of their own length; shorter ones carry too little evidence and match nothing.
-Capitals depend on the place and the style of a copy: windows that hold a NAME are taken a second time with the words
-of its names without case, and the first window of an item also with a capitalised first word as a NAME, as it is where
-the copy follows a quote, bracket or plain word.
-
-Slots: each placeholder in a matched window pairs the item's value with the document's. Windows of one item
-on one diagonal (position in document minus position in item) count only if there every value of the item
-has one value in the document (if only the windows of the second kind contradict, only they do not count); values that differ are reported as a re-parameterised question.
-A document is contaminated by an item if one of these holds:
+Every text is read as two streams of canonical tokens. In both a number (with its points and commas) becomes NUMBER
+and a unit behind a number UNIT. In the plain stream every other word is itself, without case. In the template
+stream a run of capitalised words becomes one NAME, unless it is the single word that opens a sentence; other words
+are themselves. So a copy in other case, after a quote or with the same names is found by the plain stream, and one
+with other names by the template stream. Windows of WINDOW tokens of documents and benchmark items are joined on
+their hash, stream by stream. Items of LEAST to WINDOW - 1 tokens are one window of their own length; shorter ones
+carry too little evidence and match nothing. The first window of an item is taken a second time with its opening
+word as a NAME, as that word is where a copy follows a quote or bracket.
+
+Slots: each placeholder in a matched window pairs the item's value with the document's. Windows of one item on one
+diagonal (position in document minus position in item) are evidence only if each value of the item has one value in
+the document there; second windows that contradict are left out alone. Diagonals are taken together only if
+this holds over all of them, the longest first. Values that differ make a re-parameterised question. A window of
+slots only counts with the item's own values; of an item that is a single window LEAST - 1 words must be no slots.
+A document is contaminated by an item if one of these holds in one of the streams:
 - consistent windows, wherever they are, are COVER of the item's windows;
-- one diagonal holds a run of consistent windows of PASSAGE tokens, whatever share of the item that is (windows of
-  slots only count here with the item's own values);
+- one diagonal holds a run of consistent windows of PASSAGE tokens, whatever share of the item that is;
 - consistent windows on two neighbouring diagonals (one word put in or left out) hold COVER of the item's tokens, and
   WINDOW tokens at least. Items of more than WINDOW and under EDITED tokens have windows of LEAST tokens for this rule
   alone, at most half of them slots: one changed word may leave no window of WINDOW tokens whole. An item of EDITED
@@ -23,14 +25,17 @@ A document is contaminated by an item if one of these holds:
 Scale: windows of documents pass a bit table of the benchmark's window hashes (fixed size, 2^TABLE_BITS bits)
 in the scan itself, so what is joined is near what matches. The exact join on the hash follows; the
 benchmark's windows are broadcast only up to a checked number of rows, else the join shuffles and adaptive
-execution may split a window that very many documents hold. Aggregation is by (document, item, diagonal).
+execution may split a window that very many documents hold. The evidence of one text and one item meets in one
+task, streamed over sorted rows; it is bounded by that text.
 
-Null and empty texts match nothing, an empty benchmark nothing at all; repeated items report each item_id,
-repeated rows of a document count as one document. Extra columns of the inputs are not read.
+Null and empty texts match nothing, an empty benchmark nothing at all; repeated items report each item_id. Rows that
+share a doc_id are texts of their own: none takes from another's evidence, and equal ones count once. A text
+of any length is read whole, in pieces. Extra columns of the inputs are not read; ``drop_contaminated`` returns them.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready, sized, written
+from lodestone.llm.common import named, ready, sized, written
 from lodestone.llm.words import mix, tokens, windows, word_hash
 
 WINDOW, LEAST, COVER = 8, 4, 0.6
@@ -56,69 +61,88 @@ _NUMBER, _NAME, _UNIT = (np.uint64(word_hash(w)) for w in ("numberslot", "namesl
 _units = np.sort(np.array([word_hash(u) for u in UNITS], np.uint64))
 
 
-def _canonical(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, offsets, canonical hashes, raw hashes, whether a slot, whether a NAME, rows that begin with a capital)."""
+PLAIN, TEMPLATE = 0, 1
+
+
+def _streams(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, stream, offsets, canonical hashes, values, whether a slot, rows whose first word opens with a capital)."""
     for t in tokens(col, context=True, numbers=True):
-        h = t.hashes.copy()
+        n = len(t.hashes)
+        h, first = t.hashes.copy(), np.zeros(n, bool)
         h[t.digit] = _NUMBER
-        behind = np.zeros(len(h), bool)
-        behind[1:] = t.digit[:-1]
         starts = t.offsets[:-1][t.offsets[:-1] < t.offsets[1:]]
-        behind[starts] = False
-        unit = behind & (_units[np.minimum(np.searchsorted(_units, t.hashes), len(_units) - 1)] == t.hashes)
+        first[starts] = True
+        behind = np.zeros(n, bool)
+        behind[1:] = t.digit[:-1]
+        unit = behind & ~first & (_units[np.minimum(np.searchsorted(_units, t.hashes), len(_units) - 1)] == t.hashes)
+        h[unit] = _UNIT
+        slot = t.digit | unit
+        none = np.zeros(0, np.int64)
+        yield t.first, PLAIN, t.offsets, h, t.hashes, slot, none
         name = t.capital & ~t.opens & ~unit
-        h[unit], h[name] = _UNIT, _NAME
-        yield t.first, t.offsets, h, t.hashes, t.digit | unit | name, name, starts[t.capital[starts]]
-
-
-def _windows(col: pa.Array, lengths: list[int], whole: bool, table: np.ndarray | None) -> Iterator[tuple]:
-    """(row, window hash, position, length, slot lists, tokens of the row, whether of the second kind) per length and kind;
-    ``whole``: only the windows that items have."""
-    for first, offsets, canon, rawh, slot, name, opening in _canonical(col):
-        # hashes, slots, the tokens of which a window has one at least, whether at its first place
-        kinds = [(canon, slot, None, False)]
-        if name.any():
-            kinds.append((np.where(name, rawh, canon), slot & ~name, name, False))
-        if whole and len(opening):
-            named, held, lead = canon.copy(), slot.copy(), np.zeros(len(canon), bool)
-            named[opening], held[opening], lead[opening] = _NAME, True, True
-            kinds.append((named, held, lead, True))
-        for k in lengths:
-            for hashes, filled, needed, leads in kinds:
+        goes_on = np.zeros(n, bool)  # a name whose run goes on with the next word
+        goes_on[:-1] = name[1:]
+        name |= t.capital & t.opens & goes_on
+        inner = np.zeros(n, bool)
+        inner[1:] = name[1:] & name[:-1] & ~t.opens[1:]
+        kept = np.flatnonzero(~inner)
+        if len(kept):
+            place = np.arange(n) - np.repeat(kept, np.diff(np.append(kept, n)))
+            value = np.add.reduceat(mix(t.hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kept)
+        else:
+            value = np.zeros(0, np.uint64)
+        offsets = np.searchsorted(kept, t.offsets)
+        leads = np.flatnonzero((first & t.capital & ~name)[kept])
+        yield t.first, TEMPLATE, offsets, np.where(name, _NAME, h)[kept], value, (slot | name)[kept], leads
+
+
+def _windows(col: pa.Array, lengths: list[list[int]], whole: bool, table: np.ndarray | None) -> Iterator[tuple]:
+    """(row, window hash, position, length, slot lists, tokens of the row, stream, whether a second window);
+    ``lengths`` by stream; ``whole``: only the windows that items have."""
+    for first, stream, offsets, canon, value, slot, leads in _streams(col):
+        kinds = [(canon, slot, None)]
+        if whole and len(leads):  # windows that begin with such a word, as a NAME
+            canon, slot, lead = canon.copy(), slot.copy(), np.zeros(len(canon), bool)
+            canon[leads], slot[leads], lead[leads] = _NAME, True, True
+            kinds.append((canon, slot, lead))
+        for k in lengths[stream]:
+            for hashes, filled, lead in kinds:
                 h, row, at = windows(hashes, offsets, k)
-                h = mix(h ^ np.uint64(k))
+                h = mix(h ^ np.uint64(k | stream << 8))
                 own = np.diff(offsets)[row]
                 ok = np.ones(len(h), bool)
                 if whole:
+                    before = np.concatenate(([0], np.cumsum(filled)))
+                    slots = before[at + k] - before[at]
                     ok = own == k if k < WINDOW else own >= k
                     if k == LEAST:
-                        before = np.concatenate(([0], np.cumsum(filled)))
-                        ok |= (own > WINDOW) & (own < EDITED) & (before[at + k] - before[at] <= k // 2)
-                if needed is not None:
-                    before = np.concatenate(([0], np.cumsum(needed)))
-                    ok &= needed[at] if leads else before[at + k] > before[at]
+                        ok |= (own > WINDOW) & (own < EDITED) & (slots <= k // 2)
+                if lead is not None:
+                    ok &= lead[at]
                 if table is not None:
                     ok &= (table[(h >> np.uint64(67 - TABLE_BITS)).astype(np.int64)] >> (h >> np.uint64(64 - TABLE_BITS) & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 h, row, at, own = h[ok], row[ok], at[ok], own[ok]
                 inside = at[:, None] + np.arange(k)
                 held = filled[inside]
                 ends = np.concatenate(([0], np.cumsum(held.sum(axis=1)))).astype(np.int32)
-                slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(rawh[inside[held]].view(np.int64)))
-                yield first + row, h.view(np.int64), at - offsets[row], k, slots, own, np.full(len(h), needed is not None)
+                slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[inside[held]].view(np.int64)))
+                yield first + row, h.view(np.int64), at - offsets[row], k, slots, own, stream, lead is not None
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, hash, at (position), k (tokens of the window), slots, n (tokens of the item), second (kind), for every item of LEAST tokens or more."""
+    """item_id, hash, at (position), k (tokens of the window), slots, n (tokens of the item), stream, second, for every item of LEAST tokens or more."""
     ready(benchmark.sparkSession)
+    every = [[*range(LEAST, WINDOW + 1)]] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, h, at, k, slots, own, second in _windows(batch.column(1), [*range(LEAST, WINDOW + 1)], True, None):
-                cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(np.full(len(h), k, np.int64)), slots, pa.array(own), pa.array(second)]
-                yield pa.RecordBatch.from_arrays(cols, ["item_id", "hash", "at", "k", "slots", "n", "second"])
+            for row, h, at, k, slots, own, stream, second in _windows(batch.column(1), every, True, None):
+                same = [np.full(len(h), x, np.int64) for x in (k, stream)]
+                cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), pa.array(same[0]), slots, pa.array(own), pa.array(same[1]), pa.array(np.full(len(h), second))]
+                yield pa.RecordBatch.from_arrays(cols, ["item_id", "hash", "at", "k", "slots", "n", "stream", "second"])
 
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates()
-    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, k bigint, slots array<bigint>, n bigint, second boolean")
+    return items.mapInArrow(run, "item_id bigint, hash bigint, at bigint, k bigint, slots array<bigint>, n bigint, stream bigint, second boolean")
 
 
 def _bits(items: DataFrame) -> np.ndarray:
@@ -132,54 +156,129 @@ def _bits(items: DataFrame) -> np.ndarray:
     return table
 
 
+def _agree(pairs: set[tuple[int, int]]) -> bool:
+    """Whether each value of the item has one value in the document."""
+    return len({a for a, _ in pairs}) == len(pairs)
+
+
+class _Line:
+    """The windows of an item on one diagonal, as far as their slots agree."""
+
+    def __init__(self, hits: list[tuple]):
+        self.at: set[int] = set()  # positions of the windows that items are measured by
+        self.tokens: set[int] = set()
+        self.solid: set[int] = set()
+        self.pairs: set[tuple[int, int]] = set()  # of the windows
+        self.all_pairs: set[tuple[int, int]] = set()  # of the tokens
+        groups: dict[int, list[tuple]] = defaultdict(list)
+        for hit in hits:
+            n, k, _, _, second, slots, values = hit
+            if k < WINDOW and k == n and len(slots) > n - (LEAST - 1) and slots != values:
+                continue
+            groups[2 if LEAST <= k < min(WINDOW, n) else int(second)].append(hit)
+        for rank, own in sorted(groups.items()):
+            pairs = {p for *_, slots, values in own for p in zip(slots, values, strict=True)}
+            if not _agree(self.all_pairs | pairs):
+                if rank == 0:
+                    return
+                continue
+            self.all_pairs |= pairs
+            for _, k, at, _, _, slots, values in own:
+                self.tokens.update(range(at, at + k))
+                if rank < 2:
+                    self.at.add(at)
+                    if k == WINDOW and (len(slots) < k or slots == values):
+                        self.solid.add(at)
+            if rank < 2:
+                self.pairs = set(self.all_pairs)
+
+    def passage(self) -> bool:
+        run, last = 0, None
+        for at in sorted(self.solid):
+            run = run + 1 if last is not None and at == last + 1 else 1
+            if run + WINDOW - 1 >= PASSAGE:
+                return True
+            last = at
+        return False
+
+
+def evidence(hits: list[tuple]) -> tuple[float, bool] | None:
+    """(covered, whether values differ) of one text and one item in one stream, or None; ``hits`` are
+    (tokens of the item, window's tokens, position in the item, in the text, second, item's values, text's values)."""
+    n = hits[0][0]
+    by: dict[int, list[tuple]] = defaultdict(list)
+    for hit in hits:
+        by[hit[3] - hit[2]].append(hit)
+    lines = {d: line for d, own in by.items() if (line := _Line(own)).tokens}
+    at, pairs, passage, found = set(), set(), False, []
+    for _, line in sorted(lines.items(), key=lambda x: (-len(x[1].at), x[0])):
+        if line.at - at and _agree(pairs | line.pairs):
+            at, pairs = at | line.at, pairs | line.pairs
+        passage = passage or line.passage()
+    found.append((len(at) / max(n - WINDOW + 1, 1), any(a != b for a, b in pairs)))
+    for d, line in lines.items():
+        tokens, used = line.tokens, line.all_pairs
+        if (near := lines.get(d + 1)) and _agree(used | near.all_pairs):
+            tokens, used = tokens | near.tokens, used | near.all_pairs
+        if len(tokens) >= min(n, WINDOW) or passage:
+            found.append((len(tokens) / n, any(a != b for a, b in used)))
+    covered, differs = max(found, key=lambda x: (x[0], not x[1]))
+    return (covered, differs) if passage or covered >= COVER else None
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered double (share of the item's windows or tokens), reparameterised boolean; one row for each contaminated pair."""
     spark = ready(docs.sparkSession)
     items = written(item_windows(benchmark), "items")
-    lengths = sorted(r.k for r in items.select("k").distinct().collect())  # LEAST to WINDOW at most
+    lengths: list[list[int]] = [[], []]
+    for r in items.select("stream", "k").distinct().orderBy("k").collect():  # LEAST to WINDOW at most
+        lengths[r.stream].append(r.k)
     table = spark.sparkContext.broadcast(_bits(items))  # 2^TABLE_BITS bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, h, at, _, slots, _, second in _windows(batch.column(1), lengths, False, table.value):
+            for row, h, at, _, slots, _, _, _ in _windows(batch.column(2), lengths, False, table.value):
                 if len(row):
-                    cols = [batch.column(0).take(pa.array(row)), pa.array(h), pa.array(at), slots, pa.array(second)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "pos", "values", "folded"])
-
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, h bigint, pos bigint, values array<bigint>, folded boolean")
-    hits = found.join(sized(items), F.col("h") == F.col("hash")).withColumn("diagonal", F.col("pos") - F.col("at"))
-    hits = hits.withColumn("rank", F.expr(f"case when k < {WINDOW} and k < n then 2 when second or folded then 1 else 0 end"))
-    hits = hits.withColumn("solid", F.expr(f"k = {WINDOW} and (size(slots) < k or slots = values)"))
-    pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("item"), F.col("values").alias("doc")))
-    # a diagonal is as long as the item at most, so what is gathered here is bounded by one item
-    lines = hits.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.collect_set(F.struct("at", "k", "rank", "solid")).alias("spans"), F.max("n").alias("n"),
-        *(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= r, pairs)))).alias(f"pairs{r}") for r in range(3)),
-    )
-    agree = lambda name: F.size(F.array_distinct(F.transform(name, lambda p: p["item"]))) == F.size(name)
-    changed = [F.exists(f"pairs{r}", lambda p: p["item"] != p["doc"]) for r in range(3)]
-    more = PASSAGE - WINDOW  # windows behind the first of a run
-    # windows of the second kind, and those of LEAST tokens, that contradict a diagonal are left out of it; they take nothing from its other windows
-    lines = lines.where(agree("pairs0")).withColumn("wide", F.when(agree("pairs1"), 1).otherwise(0)).withColumn("top", F.when(agree("pairs2"), 2).otherwise(F.col("wide")))
-    lines = lines.withColumn("solid", F.expr("array_sort(array_distinct(transform(filter(spans, s -> s.solid and s.rank <= wide), s -> s.at)))")).select(
-        "doc_id", "item_id", "n", "diagonal", F.expr("array_distinct(transform(filter(spans, s -> s.rank <= wide), s -> s.at))").alias("at"),
-        F.when(F.col("wide") == 1, changed[1]).otherwise(changed[0]).alias("changed"),
-        F.when(F.col("top") == 2, changed[2]).when(F.col("top") == 1, changed[1]).otherwise(changed[0]).alias("other"),
-        F.expr(f"exists(transform(solid, (x, i) -> get(solid, i + {more}) <=> x + {more}), y -> y)").alias("passage"),
-        F.expr("array_distinct(flatten(transform(filter(spans, s -> s.rank <= top), s -> sequence(s.at, s.at + s.k - 1))))").alias("tokens"),
-    )
-    # marks: windows of the item, wherever they are (no band), and its tokens on two neighbouring diagonals (a band)
-    bands = F.expr("explode(array(struct(cast(null as bigint) as band, at as marks, changed), struct(diagonal as band, tokens as marks, other as changed), struct(diagonal + 1 as band, tokens as marks, other as changed)))")
-    marks = lines.select("doc_id", "item_id", "n", "passage", bands.alias("b")).select("doc_id", "item_id", "n", "passage", "b.band", "b.changed", F.explode("b.marks").alias("mark"))
-    once = marks.groupBy("doc_id", "item_id", "band", "mark").agg(F.max("n").alias("n"), F.min("changed").alias("changed"), F.max("passage").alias("passage"))
-    each = once.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.max("changed").alias("changed"), F.max("passage").alias("passage"))
-    share = F.expr(f"case when band is null then m / greatest(n - {WINDOW - 1}, 1) when m >= least(n, {WINDOW}) or passage then m / n else 0D end")
-    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("covered"), (~F.col("changed")).alias("same"))).alias("best"), F.max("passage").alias("passage"))
-    best = best.where(F.col("passage") | (F.col("best.covered") >= COVER))
+                    cols = [*(batch.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(h), pa.array(at), slots]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "h", "pos", "values"])
+
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
+    found = texts.mapInArrow(find, "doc_id bigint, t bigint, h bigint, pos bigint, values array<bigint>")
+    hits = found.join(sized(items), F.col("h") == F.col("hash"))
+    key = ["doc_id", "t", "item_id", "stream"]
+    hits = hits.select(*key, "n", "k", "at", "pos", "second", "slots", "values").dropDuplicates([*key, "k", "at", "pos", "second"])
+    hits = hits.repartition(*key).sortWithinPartitions(*key)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now: tuple | None = None
+        out: list[tuple] = []
+
+        def done() -> None:
+            if held and (got := evidence(held)):
+                out.append((now[0], now[2], *got))
+
+        def batch_of() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["doc_id", "item_id", "covered", "reparameterised"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != now:
+                    done()
+                    now, held = row[:4], []
+                held.append(row[4:])
+            yield batch_of()
+            out = []
+        done()
+        yield batch_of()
+
+    each = hits.mapInArrow(judge, "doc_id bigint, item_id bigint, covered double, reparameterised boolean")
+    best = each.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", (~F.col("reparameterised")).alias("same"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.covered").alias("covered"), (~F.col("best.same")).alias("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates; rows without doc_id stay."""
+    """The rows of ``docs`` that no benchmark item contaminates; rows without doc_id stay, rows that share one go together."""
     gone = written(contamination(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*map(named, docs.columns))

@@ -181,6 +181,47 @@ def test_near_copies_on_odd_rows(odd, spark):
     assert bagminhash.classes(odd.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Rows (3, B), (5, A), (5, B), each text with near copies of its own; a copy goes, a text that nothing copies stays."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABCD"}
+    near = text["A"] + " more"
+    rows = [(3, text["B"], "x"), (5, text["A"], "y"), (5, text["B"], "z"), (9, near, "x"), (5, text["C"], "x"), (5, text["C"], "w"), (5, None, "x"), (None, text["B"], "n"), (4, "", "e"), (8, text["D"], "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, k1 string").repartition(3)
+    got = Counter((r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect())
+    assert got == Counter([(3, 3), (5, 5), (5, 3), (9, 5), (5, 5), (5, 5), (5, 5), (4, 4), (8, 8)])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in bagminhash.keep_one(docs).collect())
+    assert kept == sorted([(3, text["B"]), (5, text["A"]), (5, text["C"]), (5, ""), (0, text["B"]), (4, ""), (8, text["D"])])
+    again = bagminhash.keep_one(docs.repartition(7)).where("text like 'C%'").collect()
+    assert again == bagminhash.keep_one(docs).where("text like 'C%'").collect() and len(again) == 1
+
+
+def test_hot_keys_take_the_other_join(spark, monkeypatch):
+    """Many copies and a star of near copies, with the bound of hot keys at two rows."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT", 2)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join([*base[:99], f"x{i}"])) for i in range(40)] + [(200 + i, f"alone {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(docs).collect()}
+    assert got == {i: 0 if i < 200 else i for i, _ in rows}
+    assert sorted(r.doc_id for r in bagminhash.keep_one(docs).collect()) == [0, *range(200, 209)]
+
+
+def test_recall_of_all_similar_pairs(spark):
+    """Every pair of sf0.01 at 0.8 or more, found by an exact join on shared shingles, is in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    bags, holders = {i: bag(t) for i, t in rows}, {}
+    for i, b in bags.items():
+        for x in b:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for k, b in enumerate(ids) for a in ids[:k]}
+    similar = [(a, b) for a, b in pairs if similarity(bags[a], bags[b]) >= 0.8]
+    label = {r.doc_id: r.class_id for r in bagminhash.classes(docs).collect()}
+    assert len(similar) > 100 and sum(label[a] == label[b] for a, b in similar) / len(similar) >= 0.999
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 ITEM = "Early on Monday the farmer Jones sold 12 kg of apples and then walked 12 km back to his barn with 30 dollars in hand"
@@ -230,6 +271,53 @@ def test_decontamination_of_copies_in_other_case(spark):
     assert [list(t.opens) for t in words.tokens(pa.array(["It is 3.5 Or so. Yes"]), context=True, numbers=True)] == [[True, False, False, False, False, True]]
 
 
+def test_decontamination_keeps_rows_and_names_apart(spark):
+    twelve = "The careful gardener Jones sold 12 kg of ripe apples and 30 boxes of pears to the old mill of the town"
+    bench = spark.createDataFrame([(0, twelve)], "item_id bigint, text string")
+    rows = [(1, twelve), (1, twelve.replace("12", "57")), (2, twelve.replace("12", "3.5").replace("30", "1,250")), (3, twelve.replace("Jones", "Mary Ann Jones")), (4, twelve.replace("12", "-3")), (4, "nothing of it")]
+    got = {r.doc_id: r.reparameterised for r in decontam.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True}
+    opening = "Jones sold the ripe apples of his garden and Jones bought 9 pears"
+    other = "Mary Smith sold the ripe apples of his garden and Mary Smith bought 9 pears"
+    assert _leaks(spark, [opening], [f"It rained. {other}.", other.replace("bought", "gave us")])[0, 0] is True
+    # one value of the item may not have two in the text, wherever the windows lie
+    long = " ".join(f"a{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)).split()
+    item = " ".join([*long[:10], "12", *long[10:20], "12", *long[20:]])
+    cut = " ".join([*long[:10], "7", *long[10:15], "so", "it", "went", *long[15:20], "8", *long[20:]])
+    kept = " ".join([*long[:10], "7", *long[10:15], "so", "it", "went", *long[15:20], "7", *long[20:]])
+    got = {d: r for (d, _), r in _leaks(spark, [item], [cut, kept]).items()}
+    assert got.get(1) is True
+    hits = lambda d, at, values: [(32, 8, a, a + d, False, ["x"], [values]) for a in at]
+    assert decontam.evidence(hits(0, range(5), "p") + hits(3, range(8, 13), "q") + hits(6, range(16, 21), "p")) is None  # 15 of 25 windows, 5 contradict
+    assert decontam.evidence(hits(0, range(5), "p") + hits(3, range(8, 13), "p") + hits(6, range(16, 21), "p")) == (0.6, True)
+
+
+def reparameterised_items(n):
+    """Items with numbers, units and names, each with a text that has other values, and one that has the words of another item."""
+    rng, vocabulary = random.Random(17), [a + b + c for a in ("ta", "mo", "ri", "se", "lu") for b in ("ber", "non", "vik", "dal") for c in ("ed", "is", "or")]
+    names = ["Jones", "Mary Ann", "Smith", "Lopez", "Carla Ruiz", "Olaf", "Ingrid Berg"]
+    out = []
+    for _ in range(n):
+        frame = [rng.choice(vocabulary) for _ in range(rng.randrange(14, 40))]
+        slots = rng.sample(range(2, len(frame)), 3)
+        old, new = rng.sample(names, 2)
+        a, b = str(rng.randrange(2, 99)), rng.choice(["3.5", "1,250", "0.75", "640", "12,000.50"])
+        fill = lambda name, number: " ".join(name if k == slots[0] else f"{number} kg" if k == slots[1] else number if k == slots[2] else w for k, w in enumerate(frame))  # noqa: E731, B023
+        shuffled = frame[:]
+        rng.shuffle(shuffled)
+        out.append((fill(old, a), f"they asked us this. so {fill(new, b)} and that was all", " ".join(shuffled)))
+    return out
+
+
+def test_decontamination_finds_constructed_questions(spark):
+    made = reparameterised_items(240)
+    got = _leaks(spark, [m[0] for m in made], [m[1] for m in made] + [m[2] for m in made])
+    found = sum(got.get((k, k)) is True for k in range(240))
+    wrong = [x for x in got if x[0] != x[1]]
+    print(f"re-parameterised items found: {found} of 240; other pairs reported: {len(wrong)} of {480 * 240 - 240}")
+    assert found >= 228 and len(wrong) <= 2
+
+
 # -- learned models -------------------------------------------------------------------------------
 
 
