@@ -4,12 +4,18 @@ and one pass of dynamic programming that follows the output links at each positi
 Two kinds of model exist and each has its own relaxation rule, both exact:
 
 * unigram: the Viterbi rule. At each end position the matches come longest first; a match replaces
-  the best path only if its score is strictly greater, which is the library's tie rule.
+  the best path only if its score is strictly greater, which is the library's tie rule. Counting carries the best
+  score and its number of pieces from position to position and keeps no path.
 * BPE: sums of scores cannot reproduce merges, whose scores are ranks. Here the same pass keeps, for
   each position, the one piece that ends the merge result of the prefix: the longest match that stays
   beside the last piece of what precedes it (van Antwerpen and Neubeck). Whether two pieces stay side
   by side is decided by merging their characters, and remembered.
 
+The public vocabulary at hand is a BPE model. By default its pieces are read as a unigram model: the piece of rank r
+has the log probability -log(r + 2) up to a constant, in steps of 1 / STEP, so that the library's sums in
+single precision are exact for texts of up to about 100,000 pieces, and ties are common. Nothing is trained. A path to a
+model file takes that file as it is, with its own rule.
+
 A text is cut where no piece can cross: before a space that follows another character, and around
 characters that no piece holds. Each part is segmented once and remembered in a bounded cache.
 """
@@ -17,6 +23,7 @@ characters that no piece holds. Each part is segmented once and remembered in a
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from array import array
@@ -31,12 +38,15 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: What the format takes off the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
+#: Scores of the unigram reading are multiples of 1 / STEP.
+STEP = 16
 CACHE = 400_000
 #: Longer parts are segmented anew each time, so that the cache stays small.
 CACHED_CHARS = 64
 
 
-def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
+def _fields(b: bytes) -> Iterator[tuple[int, int, int | bytes]]:
+    """(number, wire kind, value) of each field of a message."""
     at = 0
 
     def number() -> int:
@@ -54,28 +64,58 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         key = number()
         kind = key & 7
         if kind == 0:
-            yield key >> 3, number()
+            yield key >> 3, kind, number()
         else:
             n = number() if kind == 2 else {1: 8, 5: 4}[kind]
-            yield key >> 3, b[at : at + n]
+            yield key >> 3, kind, b[at : at + n]
             at += n
 
 
+def _message(fields: list[tuple[int, int, int | bytes]]) -> bytes:
+    """What ``_fields`` reads."""
+
+    def number(v: int) -> bytes:
+        out = bytearray()
+        while v > 127:
+            out.append(v & 127 | 128)
+            v >>= 7
+        return bytes([*out, v])
+
+    return b"".join(number(f << 3 | kind) + (number(v) if kind == 0 else (number(len(v)) if kind == 2 else b"") + v) for f, kind, v in fields)
+
+
+def unigram(data: bytes) -> bytes:
+    """A model file with the same pieces, in which the order of their scores gives log probabilities (see above)."""
+    pieces = [{f: v for f, _, v in _fields(x)} for n, _, x in _fields(data) if n == 1]
+    score = [struct.unpack("<f", d.get(2, b"\0\0\0\0"))[0] for d in pieces]
+    normal = [i for i, d in enumerate(pieces) if d.get(3, NORMAL) == NORMAL]
+    for r, i in enumerate(sorted(normal, key=lambda i: (-score[i], i))):
+        score[i] = -round(math.log(r + 2) * STEP) / STEP
+    out, at = [], 0
+    for n, kind, x in _fields(data):
+        if n == 1:
+            x = _message([(f, k, v) for f, k, v in _fields(x) if f != 2] + [(2, 5, struct.pack("<f", score[at]))])
+            at += 1
+        elif n == 2:
+            x = _message([(f, k, v) for f, k, v in _fields(x) if f != 3] + [(3, 0, UNIGRAM)])
+        out.append((n, kind, x))
+    return _message(out)
+
+
 class Model:
     """The parts of a model file that encoding needs. Only the identity normalisation is supported."""
 
     def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
         self.kind, self.byte_fallback, self.prefix, rules, self.squeeze = UNIGRAM, False, True, "identity", True
-        for f, v in _fields(data):
+        for f, _, v in _fields(data):
+            if f in (1, 2, 3):
+                d = {g: x for g, _, x in _fields(v)}
             if f == 1:
-                d = dict(_fields(v))
                 self.pieces.append((d.get(1, b"").decode(), struct.unpack("<f", d.get(2, b"\0\0\0\0"))[0], d.get(3, NORMAL)))
             elif f == 2:
-                d = dict(_fields(v))
                 self.kind, self.byte_fallback = d.get(3, UNIGRAM), bool(d.get(35, 0))
             elif f == 3:
-                d = dict(_fields(v))
                 rules, self.prefix, self.squeeze = d.get(1, b"").decode(), bool(d.get(3, 1)), bool(d.get(4, 1))
         if rules != "identity" or self.squeeze or self.kind not in (UNIGRAM, BPE):
             raise ValueError("only models with identity normalisation that keep white space are supported")
@@ -242,20 +282,73 @@ class Segmenter:
         return out
 
     def _count(self, s: str) -> tuple[int, float]:
+        """Number of pieces and score of the best path: both are carried forward, and no path is kept."""
         if self._tied(s):
             got = self._merge(s)
             n = sum(1 if p in self.id else len(self._char(p)) for p in got)
             return n, float(sum(self.score[self.id[p]] if p in self.id else self.unknown_score for p in got))
-        last, size = self._paths(s)
-        n, score, at = 0, 0.0, len(s)
-        while at:
-            i = last[at]
-            if i >= 0:
-                n, score = n + 1, score + self.score[i]
-            else:
-                n, score = n + len(self._char(s[at - 1])), score + self.unknown_score
-            at -= size[at]
-        return n, score
+        if self.model.kind == BPE:
+            return self._count_merges(s)
+        n = len(s)
+        best, pieces, score, cost, single, done = [0.0] + [None] * n, [0] * (n + 1), self.score, self.unknown_score, self.single, 0
+        strange = not single.issuperset(s)
+
+        def unknowns(to: int) -> None:
+            nonlocal done
+            while done < to:
+                done += 1
+                if s[done - 1] not in single and (best[done] is None or best[done - 1] + cost > best[done]):
+                    best[done], pieces[done] = best[done - 1] + cost, pieces[done - 1] + len(self._char(s[done - 1]))
+
+        for end, (i, k) in self.automaton.iter(s) if self.whole else ():
+            if strange and done < end:
+                unknowns(end)
+            end += 1
+            x = best[end - k]
+            if x is None:
+                continue
+            x += score[i]
+            if best[end] is None or x > best[end]:
+                best[end], pieces[end] = x, pieces[end - k] + 1
+        if strange:
+            unknowns(n)
+        return pieces[n], best[n]
+
+    def _count_merges(self, s: str) -> tuple[int, float]:
+        """The same by the rule of BPE, which keeps the last piece of each prefix."""
+        n = len(s)
+        last, pieces, sums = [-2] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        text, beside, score, strange = self.text, self._beside, self.score, not self.single.issuperset(s)
+
+        def unknowns(a: int, b: int) -> None:
+            for at in range(a, b):
+                if last[at + 1] == -2 and s[at] not in self.single:
+                    last[at + 1], pieces[at + 1], sums[at + 1] = -1, pieces[at] + len(self._char(s[at])), sums[at] + self.unknown_score
+
+        done = 0
+        for end, (i, k) in self.automaton.iter(s) if self.whole else ():
+            if strange and done < end:
+                unknowns(done, end)
+                done = end
+            end += 1
+            if last[end] != -2:
+                continue
+            if k < end:
+                before = last[end - k]
+                if before == -2:
+                    continue
+                if before >= 0:
+                    ok = beside.get(before << 32 | i)
+                    if ok is None:
+                        if len(beside) >= CACHE:
+                            beside.clear()
+                        ok = beside[before << 32 | i] = self._stay(text[before], text[i])
+                    if not ok:
+                        continue
+            last[end], pieces[end], sums[end] = i, pieces[end - k] + 1, sums[end - k] + score[i]
+        if strange:
+            unknowns(done, n)
+        return pieces[n], sums[n]
 
     # -- whole texts ----------------------------------------------------------------------------
 
@@ -305,7 +398,8 @@ class Segmenter:
         return [i for k, i in enumerate(ids) if i != self.unknown or k == 0 or ids[k - 1] != self.unknown]
 
     def count(self, text: str) -> tuple[int, float]:
-        """Number of pieces and score of the best path, without building the path."""
+        """Number of pieces and score of the best path, which is not kept (only a model without byte fallback needs
+        the ids, since it joins neighbouring unknown characters across parts)."""
         if not self.model.byte_fallback:
             ids = self.encode(text)
             return len(ids), float(sum(self._count(w)[1] for w in self.parts(text)))
@@ -350,5 +444,7 @@ def segmenter(data: bytes) -> Segmenter:
 
 
 def model_bytes(path: str | None = None) -> bytes:
+    """A model file as it is, or by default the public vocabulary read as a unigram model."""
     with open(path or DEFAULT_MODEL, "rb") as f:
-        return f.read()
+        data = f.read()
+    return data if path else unigram(data)

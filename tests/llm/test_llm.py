@@ -67,23 +67,38 @@ def random_texts(n):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
-def test_pieces_equal_the_library(docs):
+def test_pieces_equal_the_library():
+    """Ids, counts and scores over all texts of sf0.01 and odd ones, by both readings of the public vocabulary."""
+    import pyarrow.parquet as pq
     import sentencepiece
 
-    data = pieces.model_bytes()
-    lib, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Segmenter(pieces.Model(data))
-    for t in [r.text for r in docs.limit(60).collect()] + random_texts(500):
-        ids = own.encode(t)
-        assert ids == lib.encode(t)
-        assert own.count(t)[0] == len(ids)
-        assert own.decode(ids) == lib.decode(ids) == t.replace("▁", " ")
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() + random_texts(500)
+    figures = []
+    for data in (pieces.model_bytes(), pieces.model_bytes(pieces.DEFAULT_MODEL)):
+        lib, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Segmenter(pieces.Model(data))
+        assert all(own.text[i] == lib.id_to_piece(i) and own.score[i] == lib.get_score(i) for i in range(0, 32000, 7))
+        total = 0
+        for t, want in zip(texts, lib.encode(texts), strict=True):
+            ids = own.encode(t)
+            assert ids == want
+            n, score = own.count(t)
+            assert n == len(ids) and score == sum(own.score[i] for i in ids if i not in own.byte_of) + own.unknown_score * unknowns(own, t)
+            assert own.decode(ids) == t.replace("▁", " ")
+            total += n
+        assert own.decode(ids) == lib.decode(ids)
+        figures.append(total)
+    print("pieces, unigram and BPE:", figures, "bytes:", sum(len(t.encode()) for t in texts))
+
+
+def unknowns(own, text):
+    return sum(c not in own.single for c in text.replace(" ", "▁"))
 
 
 def test_viterbi_equals_the_library_on_a_unigram_model():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    m = pb.ModelProto.FromString(pieces.model_bytes())
+    m = pb.ModelProto.FromString(pieces.model_bytes(pieces.DEFAULT_MODEL))
     m.trainer_spec.model_type = 1
     for i, p in enumerate(m.pieces):
         if p.type == 1:  # scores that float32 adds exactly, with ties
