@@ -9,13 +9,14 @@ The loss mask covers the tokens of assistant texts. It is a prefix sum: +1 where
 behind its end.
 
 Scale: rows are dealt by range over (conversation, turn, role, text), so a conversation of any size spreads
-over tasks. Each task encodes its rows and joins them to parts of at most PART_TOKENS tokens. Reading back
-folds the parts of a conversation in order with running hashes, in a stream over sorted rows that never
-holds more than one part. A digest over a whole conversation is sequential by its definition; it costs a
-few bytes of state.
+over tasks. Each task encodes its rows and joins whole turns to parts of at most PART_TOKENS tokens; a turn that is
+longer is a part of its own. Reading back decodes and checks part by part, again wherever a part lies, and leaves its
+counts and the plain bytes that the digests take. A digest over a conversation is sequential by its definition: one
+task takes the bytes of a conversation's parts in order, a few parts at a time, with a few bytes of state.
 
 Null texts and roles are empty; turns with equal numbers follow role and text, null turns come first;
-repeated rows are turns of their own; an empty table gives no rows. A null conv_id is a conversation.
+repeated rows are turns of their own; an empty table gives no rows. A null conv_id is a conversation. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ready, written
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
 #: Fixed value: how the vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESERVED = ("<|turn|>", "<|sep|>", "<|end|>")
@@ -42,7 +44,9 @@ FOREIGN = (
     "<|begin_of_text|>", "<|end_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>", "<|system|>", "<|user|>", "<|assistant|>",
     "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>",
 )
-PART_TOKENS = 1 << 16
+PART_TOKENS = 1 << 14
+#: Decoded bytes that a task holds before it hands them on.
+OUT_BYTES = 1 << 21
 _BEGINS = re.compile("(?=" + "|".join(map(re.escape, sorted(RESERVED + FOREIGN, key=len, reverse=True))) + ").", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -87,22 +91,24 @@ def _ranks(path: str | None) -> bytes:
         return f.read()
 
 
-def assemble(turns: list[tuple[str, str]], c: Codec) -> tuple[list[int], np.ndarray]:
-    """Tokens of consecutive turns and their loss mask (0 and 1)."""
-    ids: list[int] = []
-    edges: list[tuple[int, int]] = []
-    for role, text in turns:
-        ids += [c.turn, *c.encode(role), c.sep]
-        begin = len(ids)
-        ids += c.encode(text)
-        if role == "assistant":
-            edges.append((begin, len(ids)))
-        ids.append(c.end)
-    step = np.zeros(len(ids) + 1, np.int8)
-    for begin, end in edges:
-        step[begin] += 1
-        step[end] -= 1
-    return ids, np.cumsum(step[:-1], dtype=np.int8)
+def turn_tokens(role: str, text: str, c: Codec) -> tuple[list[int], int, int]:
+    """Tokens of one turn, and where those begin and end that are learned from; equal places if none are."""
+    ids = [c.turn, *c.encode(role), c.sep]
+    begin = len(ids)
+    ids += c.encode(text)
+    end = len(ids)
+    ids.append(c.end)
+    return ids, begin if role == "assistant" else end, end
+
+
+def assemble(turns: list[tuple[list[int], int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of consecutive turns and their loss mask (0 and 1), the prefix sum of its edges."""
+    sizes = np.array([len(ids) for ids, _, _ in turns])
+    starts = np.cumsum(sizes) - sizes
+    step = np.zeros(sizes.sum() + 1, np.int8)
+    np.add.at(step, starts + np.array([b for _, b, _ in turns]), 1)
+    np.add.at(step, starts + np.array([e for _, _, e in turns]), -1)
+    return np.concatenate([np.array(ids, np.int32) for ids, _, _ in turns]), np.cumsum(step[:-1], dtype=np.int8)
 
 
 def format_chats(conversations: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -121,71 +127,97 @@ def format_chats(conversations: DataFrame, ranks: str | None = None) -> DataFram
         from pyspark import TaskContext
 
         c, number = codec(data.value), TaskContext.get().partitionId() << 32
-        held: list[tuple[str, str]] = []
+        held: list[tuple[list[int], int, int]] = []
         size, conv = 0, None
 
         def out(conv, held):
             nonlocal number
-            ids, mask = assemble(held, c)
+            ids, mask = assemble(held)
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask.tolist()], pa.list_(pa.int8()))], ["conv_id", "part", "tokens", "mask"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (ids, mask)]
+            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([number], pa.int64()), *lists], ["conv_id", "part", "tokens", "mask"])
 
         for batch in batches:
-            ids, roles, texts = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            for i, role, text in zip(ids, roles, texts, strict=True):
-                if held and (i != conv or size + len(text) > PART_TOKENS):
+            for i, role, text in zip(*(batch.column(k) for k in (0, 2, 3)), strict=True):
+                i, one = i.as_py(), turn_tokens(role.as_py(), text.as_py(), c)
+                if held and (i != conv or size + len(one[0]) > PART_TOKENS):
                     yield out(conv, held)
                     held, size = [], 0
                 conv = i
-                held.append((role, text))
-                size += len(text) + len(role) + 4
+                held.append(one)
+                size += len(one[0])
         if held:
             yield out(conv, held)
 
     return rows.mapInArrow(run, "conv_id bigint, part bigint, tokens array<int>, mask array<tinyint>")
 
 
+def _plain(ids: np.ndarray, mask: np.ndarray, c: Codec, strings: dict[int, int]) -> tuple[int, bytes, int, bytes, int, int]:
+    """Of a part: turns, the bytes of all turns, learned characters and bytes, characters of the formatted text, tokens."""
+    seps, ends = np.flatnonzero(ids == c.sep), np.flatnonzero(ids == c.end)
+    begins = np.flatnonzero(ids == c.turn)
+    if not len(begins) == len(seps) == len(ends):
+        raise ValueError("a part is not made of whole turns")
+    turns, learned, chars, total = [], [], 0, 0
+    for begin, sep, end in zip(begins.tolist(), seps.tolist(), ends.tolist(), strict=True):
+        role, text = c.decode(ids[begin + 1 : sep].tolist()), c.decode(ids[sep + 1 : end].tolist())
+        turns.append(f"{unescape(role)}\n{unescape(text)}\n".encode())
+        under = ids[sep + 1 : end][mask[sep + 1 : end] != 0]
+        if len(under):
+            one = unescape(c.decode(under.tolist()))
+            chars += len(one)
+            learned.append(one.encode())
+        total += len(role) + len(text) + sum(strings.values())
+    return len(begins), b"".join(turns), chars, b"".join(learned), total, len(ids)
+
+
 def read_back(parts: DataFrame, ranks: str | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, from tokens and masks alone."""
     spark = ready(parts.sparkSession)
     data = spark.sparkContext.broadcast(_ranks(ranks))
-    rows = parts.select("conv_id", "part", "tokens", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    fields = ["n_turns", "turns", "loss_chars", "loss", "formatted_chars", "n_tokens"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data.value)
         strings = dict(zip((c.turn, c.sep, c.end), map(len, RESERVED), strict=True))
+        for batch in batches:
+            at = size = 0
+            held: list[tuple] = []
+            for k in range(batch.num_rows):
+                held.append(_plain(*(batch.column(x)[k].values.to_numpy() for x in (2, 3)), c, strings))
+                size += len(held[-1][1]) + len(held[-1][3])
+                if size > OUT_BYTES or k + 1 == batch.num_rows:
+                    own = [batch.column(x).slice(at, len(held)) for x in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(zip(*held, strict=True), types, strict=True))], ["conv_id", "part", *fields])
+                    at, size, held = k + 1, 0, []
+
+    plain = parts.select("conv_id", "part", "tokens", "mask").mapInArrow(decoded, "conv_id bigint, part bigint, n_turns bigint, turns binary, loss_chars bigint, loss binary, formatted_chars bigint, n_tokens bigint")
+    plain = plain.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         state: list | None = None
 
         def finish() -> None:
-            done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6]))
+            conv, turns, n, learned, *rest = state
+            done.append((conv, n, turns.hexdigest(), rest[0], learned.hexdigest(), *rest[1:]))
 
         def table() -> pa.RecordBatch:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], types[k]) for k in range(7)], names)
+            return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], types[k]) for k in range(7)], NAMES)
 
         for batch in batches:
-            for conv, ids, mask in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            convs, counts = batch.column(0).to_pylist(), [batch.column(k).to_pylist() for k in (2, 4, 6, 7)]
+            for k, conv in enumerate(convs):
                 if state is None or conv != state[0]:
                     if state is not None:
                         finish()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                at = 0
-                while at < len(ids):
-                    sep = ids.index(c.sep, at)
-                    end = ids.index(c.end, sep)
-                    role, text = c.decode(ids[at + 1 : sep]), c.decode(ids[sep + 1 : end])
-                    state[1] += 1
-                    state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                    masked = [i for i, m in zip(ids[sep + 1 : end], mask[sep + 1 : end], strict=True) if m]
-                    if masked:
-                        learned = unescape(c.decode(masked))
-                        state[3] += len(learned)
-                        state[4].update(learned.encode())
-                    state[5] += len(role) + len(text) + sum(strings[x] for x in (c.turn, c.sep, c.end))
-                    at = end + 1
-                state[6] += len(ids)
+                    state = [conv, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                state[1].update(batch.column(3)[k].as_buffer())
+                state[3].update(batch.column(5)[k].as_buffer())
+                for at, values in zip((2, 4, 5, 6), counts, strict=True):
+                    state[at] += values[k]
             if len(done) > 1000:
                 yield table()
                 done = []
@@ -193,7 +225,7 @@ def read_back(parts: DataFrame, ranks: str | None = None) -> DataFrame:
             finish()
         yield table()
 
-    return rows.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint")
+    return plain.mapInArrow(folded, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint")
 
 
 def formatted(conversations: DataFrame, ranks: str | None = None) -> DataFrame:

@@ -2,19 +2,22 @@
 
     P(language | row) ~ P(language | host) P(markup | language) P(address | language) P(text | language)^t
 
-* Text: naive Bayes over hashed byte trigrams, with counts from at most FIT_ROWS rows of known language
-  (a bounded sample chosen by a hash of the id). The log likelihoods of a text are a sum over all of it;
+* Text: naive Bayes over hashed byte trigrams, with counts from at most FIT_ROWS rows of each known language
+  (bounded samples chosen by a hash of the id, one text for each id). The log likelihoods of a text are a sum over all of it;
   t = EVIDENCE / (EVIDENCE + number of trigrams) keeps long texts from drowning the other evidence.
 * Markup: the declared language agrees with the true one with probability MARKUP, else any other.
 * Address: a country suffix of the host or a language code in the first part of the path, likewise (ADDRESS).
 * Host prior: counts of what the text alone says, by grouped aggregation over ALL rows, smoothed down a
   hierarchy: everything, registered domain, host; each level has its parent's shares as STRENGTH pseudo-rows.
 
-The counts are map-side combined, so a host with a third of all rows is no hot key. Priors are joined back
-by host: broadcast if they are few, otherwise a join whose many-rows side adaptive execution may split.
+The counts are map-side combined, so a host with a third of all rows is no hot key. The evidence of the texts is
+computed once, into a table of the shared folder. Priors are joined back by host: broadcast if they are few, else
+only those of hosts with many rows are.
 
-A row without any letter or evidence (null or empty text) has language 'und' and is rejected, as is one
-whose best language has a probability under LEAST. Extra columns pass through; repeated rows repeat.
+A row without any letter or evidence (null or empty text) has language 'und' and is rejected, as is one whose best
+language has a probability under LEAST. Of equally likely languages the first by name is taken. Texts of any length
+are read whole, in pieces; an empty table has no rows; repeated rows repeat. Extra columns pass through; input columns
+with the names of results are replaced by them, other names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready, sized, written
+from lodestone.llm.common import BROADCAST_ROWS, by_rows, join_counted, named, others, ready, written
 from lodestone.llm.words import raw
 
 BITS = 16
 #: Bytes of text looked at together; the work space of a worker is about 50 times this.
 CHUNK = 1 << 18
-FIT_ROWS = 4_000
+#: Bound on the rows of each language that a fit looks at.
+FIT_ROWS = 1_000
 #: More languages than this are an error, so that the table of likelihoods stays small.
 LANGUAGES = 200
 EVIDENCE, MARKUP, ADDRESS, STRENGTH, LEAST = 40.0, 0.9, 0.8, 20.0, 0.5
@@ -84,8 +88,17 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     """Counts of trigrams by language, from a bounded sample of the rows whose language is known."""
     ready(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != ""))
-    ids = known.select(F.col(key).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS).distinct()
-    rows = known.select(text, lang, key).join(F.broadcast(ids), F.col(key) == F.col("__id")).select(text, lang)
+    known = known.select(named(text).alias("text"), named(lang).alias("lang"), named(key).alias("id")).where("id is not null")
+    held = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(held) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not held:
+        return Languages([], np.zeros((1 << BITS, 0), np.float32))
+    # hashes under this share leave about twice FIT_ROWS ids of a language, so what is ranked is small, whatever there is
+    share = F.create_map(*(F.lit(x) for r in held for x in (r.lang, 2.0 * FIT_ROWS / max(r.n, 1))))
+    near = known.select("lang", "id", F.xxhash64("id").alias("h")).where(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < share[F.col("lang")]).distinct()
+    ids = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= FIT_ROWS).select("lang", "id")
+    rows = known.join(F.broadcast(ids), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -102,8 +115,6 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
     got = rows.mapInArrow(run, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(set(got["lang"]))
-    if len(names) > LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {LANGUAGES} are supported")
     counts = np.full((1 << BITS, len(names)), 0.5)
     for k, x in enumerate(names):
         own = got[got["lang"] == x]
@@ -111,19 +122,18 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     return Languages(names, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def text_evidence(rows: DataFrame, model: Languages, text: str = "__text") -> DataFrame:
-    """All columns but ``text``, then __ll array<double>, the tempered log likelihoods, and __n, the number of trigrams."""
-    spark = ready(rows.sparkSession)
-    sent = spark.sparkContext.broadcast(model)  # 2^BITS x at most LANGUAGES numbers
-    keep = [c for c in rows.columns if c != text]
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["__ll array<double>, __n bigint"])
+def text_evidence(rows: DataFrame, model: Languages, text: str = "text") -> DataFrame:
+    """All columns but ``text``, then ll array<double>, the tempered log likelihoods, and n, the number of trigrams."""
+    ready(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # 2^BITS x at most LANGUAGES numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         names, table = sent.value
         columns = np.ascontiguousarray(table.T)
-        for batch in batches:
-            total, count = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows, np.int64)
-            for first, n, grams, row in _trigrams(batch.column(len(keep))):
+
+        def run(col: pa.Array) -> list[pa.Array]:
+            total, count = np.zeros((len(col), len(names))), np.zeros(len(col), np.int64)
+            for first, n, grams, row in _trigrams(col):
                 each = np.bincount(row, minlength=n)
                 count[first : first + n] += each
                 if len(grams):
@@ -132,10 +142,12 @@ def text_evidence(rows: DataFrame, model: Languages, text: str = "__text") -> Da
                     for k, one in enumerate(columns):
                         total[first + full, k] += np.add.reduceat(one[grams], starts, dtype=np.float64)
             total *= (EVIDENCE / (EVIDENCE + count))[:, None]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(names), pa.int32()), pa.array(total.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(count)], [*keep, "__ll", "__n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(col) + 1) * len(names), pa.int32()), pa.array(total.ravel()))
+            return [lists, pa.array(count)]
 
-    return rows.select(*keep, text).mapInArrow(run, schema)
+        return run
+
+    return by_rows(rows, [c for c in rows.columns if c != text], [named(text)], "ll array<double>, n bigint", make)
 
 
 def _share(counts: Column, parent: Column) -> Column:
@@ -144,18 +156,18 @@ def _share(counts: Column, parent: Column) -> Column:
 
 
 def host_priors(scored: DataFrame, model: Languages) -> DataFrame:
-    """(__domain, __host, __prior array<double>): shares of languages by host, smoothed by domain and everything."""
-    best = F.when(F.col("__n") > 0, F.array_position("__ll", F.array_max("__ll")))
+    """(domain, host, rows, prior array<double>): shares of languages by host, smoothed by domain and everything."""
+    best = F.when(F.col("n") > 0, F.array_position("ll", F.array_max("ll")))
     each = [F.sum(F.when(best == k + 1, 1.0).otherwise(0.0)).alias(f"c{k}") for k in range(len(model.names))]
-    hosts = written(scored.groupBy("__domain", "__host").agg(*each), "hosts")  # one pass over the texts for all that follows
+    hosts = written(scored.groupBy("domain", "host").agg(F.count("*").alias("rows"), *each), "hosts")
     add = [F.sum(f"c{k}") for k in range(len(model.names))]
-    domains = hosts.groupBy(F.col("__domain").alias("__d")).agg(F.array(*add).alias("__dc"))
-    whole = hosts.agg(F.array(*(F.coalesce(x, F.lit(0.0)) for x in add)).alias("__all")).first()["__all"]
+    domains = hosts.groupBy("domain").agg(F.count("*").alias("hosts"), F.array(*add).alias("__dc"))
+    whole = hosts.agg(F.array(*(F.coalesce(x, F.lit(0.0)) for x in add)).alias("all")).first()["all"]
     n = sum(whole)
     top = F.array(*(F.lit((c + 1) / (n + len(whole))) for c in whole))
-    hosts = hosts.select("__domain", "__host", F.array(*(F.col(f"c{k}") for k in range(len(model.names)))).alias("__hc"))
-    joined = hosts.join(domains, F.col("__domain") == F.col("__d"))
-    return joined.select("__domain", "__host", _share(F.col("__hc"), _share(F.col("__dc"), top)).alias("__prior"))
+    hosts = hosts.select("domain", "host", "rows", F.array(*(F.col(f"c{k}") for k in range(len(model.names)))).alias("__hc"))
+    joined = join_counted(hosts, domains, ["domain"], "hosts")
+    return joined.select("domain", "host", "rows", _share(F.col("__hc"), _share(F.col("__dc"), top)).alias("prior"))
 
 
 def _agrees(said: Column, names: Column, n: int, trust: float) -> Column:
@@ -165,29 +177,38 @@ def _agrees(said: Column, names: Column, n: int, trust: float) -> Column:
     return F.when(said.isNotNull() & F.array_contains(names, said), one).otherwise(F.transform(names, lambda x: F.lit(0.0)))
 
 
+NEW = "language string, confidence double, rejected boolean"
+
+
 def identify(rows: DataFrame, model: Languages, text: Column, host: Column | None = None, domain: Column | None = None, markup: Column | None = None, address: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``rows`` (all), then language string, confidence double, rejected boolean."""
     none = F.lit(None).cast("string")
     host, domain, markup, address = (none if c is None else c for c in (host, domain, markup, address))
-    keep = [c for c in rows.columns if c not in ("language", "confidence", "rejected")] if keep is None else keep
+    keep = others(rows, NEW) if keep is None else keep
     if not model.names:
-        return rows.select(*keep, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
-    base = rows.select(*keep, F.coalesce(domain, F.lit("")).alias("__domain"), F.coalesce(host, F.lit("")).alias("__host"), markup.alias("__markup"), address.alias("__address"), text.alias("__text"))
-    priors = host_priors(text_evidence(base.select("__domain", "__host", "__text"), model), model)
-    scored = text_evidence(base, model)
-    joined = scored.join(sized(priors.withColumnsRenamed({"__domain": "__pd", "__host": "__ph"})), (F.col("__domain") == F.col("__pd")) & (F.col("__host") == F.col("__ph")), "left")
+        return rows.select(*map(named, keep), F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
+    kept = [f"k{i}" for i in range(len(keep))]  # by position: no name can clash
+    empty = F.lit("")
+    base = rows.select(
+        *(named(c).alias(k) for c, k in zip(keep, kept, strict=True)), F.coalesce(domain, empty).alias("domain"), F.coalesce(host, empty).alias("host"),
+        markup.alias("markup"), address.alias("address"), text.alias("text"),
+    )
+    scored = written(text_evidence(base, model), "evidence")
+    priors = written(host_priors(scored, model), "priors")
+    few = priors.limit(BROADCAST_ROWS // len(model.names) + 1).count() <= BROADCAST_ROWS // len(model.names)
+    joined = scored.join(F.broadcast(priors.drop("rows")), ["domain", "host"]) if few else join_counted(scored, priors, ["domain", "host"], "rows")
     names, n = F.array(*map(F.lit, model.names)), len(model.names)
-    evidence = F.transform("__prior", lambda p: F.log(p))
-    for x in (F.col("__ll"), _agrees(F.col("__markup"), names, n, MARKUP), _agrees(F.col("__address"), names, n, ADDRESS)):
+    evidence = F.transform("prior", lambda p: F.log(p))
+    for x in (F.col("ll"), _agrees(F.col("markup"), names, n, MARKUP), _agrees(F.col("address"), names, n, ADDRESS)):
         evidence = F.zip_with(evidence, x, lambda a, b: a + b)
-    joined = joined.withColumn("__e", evidence)
-    joined = joined.withColumn("__w", F.transform("__e", lambda x: F.exp(x - F.array_max("__e"))))
-    known = (F.col("__n") > 0) | F.array_contains(names, F.col("__markup")) | F.array_contains(names, F.col("__address"))
-    known = F.coalesce(known, F.col("__n") > 0)
-    top = F.lit(1.0) / F.aggregate("__w", F.lit(0.0), lambda a, x: a + x)
-    joined = joined.withColumn("__known", known).withColumn("__top", F.when(F.col("__known"), top).otherwise(0.0))
-    language = F.when(F.col("__known"), F.element_at(names, F.array_position("__e", F.array_max("__e")).cast("int"))).otherwise("und")
-    return joined.select(*keep, language.alias("language"), F.col("__top").alias("confidence"), (F.col("__top") < LEAST).alias("rejected"))
+    joined = joined.withColumn("e", evidence)
+    joined = joined.withColumn("w", F.transform("e", lambda x: F.exp(x - F.array_max("e"))))
+    known = (F.col("n") > 0) | F.array_contains(names, F.col("markup")) | F.array_contains(names, F.col("address"))
+    known = F.coalesce(known, F.col("n") > 0)
+    top = F.lit(1.0) / F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    joined = joined.withColumn("known", known).withColumn("top", F.when(F.col("known"), top).otherwise(0.0))
+    language = F.when(F.col("known"), F.element_at(names, F.array_position("e", F.array_max("e")).cast("int"))).otherwise("und")
+    return joined.select(*kept, language, "top", F.col("top") < LEAST).toDF(*keep, *(x.split()[0] for x in NEW.split(", ")))
 
 
 def page_parts(url: Column, html: Column) -> dict[str, Column]:

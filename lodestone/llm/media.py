@@ -3,7 +3,10 @@
 A payload is the UTF-8 bytes of a text, followed by bytes 255 up to a positive multiple of FRAME. It is
 stored as mono 8-bit samples of a WAV file, one byte a sample, and all features come from the stored
 file read back. Each row is taken by itself: no shuffle; a null text is the empty text; equal texts have
-equal results, since every transform is computed for one text alone, in pieces of a fixed size.
+equal results, since every transform is computed for one text alone, in pieces of a fixed size. A text of any
+length is one file, which must fit in a task's memory; an empty table has no rows, repeated rows repeat theirs. Of
+equal magnitudes in a band the lowest frequency is the peak. Input columns with the names of results are replaced;
+others cannot clash.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import ready
+from lodestone.llm.common import by_rows, named, others
 
 FRAME, HOP, RATE = 576, 288, 8000
 #: Frames transformed at once; the work space of a long text stays bounded.
@@ -89,11 +92,6 @@ def media_columns(docs: DataFrame, keep: list[str] | None = None, text: str = "t
     fingerprints array<bigint> and, if asked for, media binary."""
     out = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, fingerprints array<bigint>"
     out += ", media binary" if with_media else ""
-    new = [x.split()[0] for x in out.split(", ")]
-    keep = [c for c in docs.columns if c not in new] if keep is None else keep
-    ready(docs.sparkSession)
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [out])
-    rows = docs.select(*keep, docs[text].alias("__text"))
 
     def one(text: str | None) -> tuple:
         media = store(payload(text))
@@ -106,12 +104,7 @@ def media_columns(docs: DataFrame, keep: list[str] | None = None, text: str = "t
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                got = [one(t) for t in batch.column(len(keep)).to_pylist()]
-                cols = [pa.array([g[k] for g in got], types[k]) for k in range(len(new))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*keep, *new])
+    def run(col: pa.Array) -> list[pa.Array]:
+        return [pa.array(values, t) for values, t in zip(zip(*map(one, col.to_pylist()), strict=True), types, strict=False)]
 
-    return rows.mapInArrow(run, schema)
+    return by_rows(docs, others(docs, out) if keep is None else keep, [named(text)], out, lambda: run, ROWS)

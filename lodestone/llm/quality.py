@@ -9,10 +9,14 @@
 3. Pooling: the word vector is its context vector, scaled to unit length, plus its own index vector. A
    document's vector is the mean over its tokens, with the vector's norm and the log of the length.
 4. Network: tanh hidden layer, sigmoid output, trained with numpy on at most FIT_ROWS labelled rows
-   (chosen by a hash of doc_id); a tenth of them is set aside for the temperature that calibrates the output.
+   (chosen by a hash of doc_id, one text for each id); a tenth of them is set aside for the temperature that
+   calibrates the output.
 
 Only the text is an input. Labels are learned only from rows that ``train`` admits. Null and empty texts
-have the vector 0 and hence a score like any other. Without labels of both kinds each score is 0.5.
+have the vector 0 and hence a score like any other. Without labels of both kinds each score is 0.5. Texts of any
+length are taken whole, in pieces; an empty table has no scores; repeated rows repeat their score. An input column
+named score is replaced by the result; other names cannot clash. The driver gets FIT_ROWS rows and BUCKETS word
+vectors at most, whatever the tables hold.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready
+from lodestone.llm.common import by_rows, named, others, ready
 from lodestone.llm.words import mix, tokens, word_hash
 
 BITS, DIM, REACH = 15, 32, 2
@@ -170,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Qual
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known if train is None else known.where(train)
     sample = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("double").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "__y", "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__y").alias("__y")).select("text", "__y", "doc_id")  # an id may be on many rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,14 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Qual
 
 def score(docs: DataFrame, model: Quality, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Columns ``keep``, then score double, the calibrated probability of good quality."""
-    keep = [c for c in docs.columns if c != "score"] if keep is None else keep
-    spark = ready(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
+    ready(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         vectors, network = sent.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(network.probabilities(pool(batch.column(len(keep)), vectors)))], [*keep, "score"])
+        return lambda col: [pa.array(network.probabilities(pool(col, vectors)))]
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return by_rows(docs, others(docs, "score double") if keep is None else keep, [named(text)], "score double", make)

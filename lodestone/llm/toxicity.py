@@ -7,10 +7,12 @@ Grades. The label table says toxic or not. The grade of a toxic row is how many
 learned marker words it holds (GRADE_CUTS); rows not toxic have grade 0. Marker words are the hashed words
 whose smoothed log-odds between the two labels is at least MARKER_LOG_ODDS in the fitting sample.
 
-Scale. The fit takes at most FIT_ROWS labelled rows, chosen by a hash of doc_id, and collects their
-sparse features; scoring is row by row, with the weights (BUCKETS numbers) broadcast. No shuffle of
-texts. Null and empty texts have the score of the intercepts alone. Repeated labels of one doc_id count
-once, as the largest; labels that are null are left out; without any label of both kinds all scores are 0.
+Scale. The fit takes at most FIT_ROWS labelled rows, chosen by a hash of doc_id, one text for each id, and
+collects their sparse features; scoring is row by row, with the weights (BUCKETS numbers) broadcast. No shuffle of
+texts but those of the sample. Null and empty texts have the score of the intercepts alone. Repeated labels of one
+doc_id count once, as the largest; labels that are null are left out; without any label of both kinds all scores
+are 0. Texts of any length are taken whole, in pieces; an empty table has no scores; repeated rows repeat theirs; of
+equally likely grades the lowest is taken. Input columns with the names of results are replaced; others cannot clash.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ready
+from lodestone.llm.common import by_rows, named, others, ready
 from lodestone.llm.words import tokens
 
 BITS = 18
@@ -32,8 +34,8 @@ BUCKETS = 1 << BITS
 FIT_ROWS = 8_000
 GRADE_CUTS = (3, 6)
 MARKER_LOG_ODDS = 3.0
-#: A word enters the model if so many fitting rows hold it.
-LEAST_ROWS = 8
+#: A word enters the model if this share of the fitting rows holds it, and two rows at least; the L1 penalty does the rest.
+LEAST_SHARE = 0.001
 L1, STEPS, RATE = 2e-4, 150, 0.1
 #: Rejected from here on: P(grade >= 1).
 REJECT = 0.5
@@ -63,46 +65,58 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def cuts_of(free: np.ndarray) -> np.ndarray:
+    """Thresholds in order, from the first one and the logs of the gaps."""
+    return free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
+
+
+def ordinal_loss(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, w: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood and its gradients by the weights and by ``free``."""
+    n, k, each = len(grade), len(free), np.arange(len(grade))
+    row = np.repeat(each, np.diff(offsets))
+    score = sums(value * w[index], offsets)
+    p = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - cuts_of(free)), np.zeros((n, 1))], axis=1)
+    own = np.maximum(p[each, grade] - p[each, grade + 1], 1e-9)
+    d = p * (1 - p)  # slopes of the cumulative probabilities
+    to_score = (d[each, grade] - d[each, grade + 1]) / own
+    to_cut = np.zeros((n, k))
+    low, high = grade > 0, grade < k
+    to_cut[np.flatnonzero(low), grade[low] - 1] -= (d[each, grade] / own)[low]
+    to_cut[np.flatnonzero(high), grade[high]] += (d[each, grade + 1] / own)[high]
+    g_cut = to_cut.sum(axis=0)
+    g_free = np.concatenate([[g_cut.sum()], np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(free[1:])])
+    return -np.log(own).mean(), -np.bincount(index, value * to_score[row], len(w)) / n, -g_free / n
+
+
 def fit_ordinal(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, levels: int, width: int) -> Severity:
     """Maximum likelihood with an L1 penalty on the weights, by proximal Adam steps over all rows."""
-    n, k = len(grade), levels - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    above = grade[:, None] > np.arange(k)[None]
-    rate = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
+    k = levels - 1
+    rate = np.clip((grade[:, None] > np.arange(k)[None]).mean(axis=0), 1e-3, 1 - 1e-3)
     w = np.zeros(width)
-    free = np.concatenate([[-np.log(rate[0] / (1 - rate[0]))], np.full(k - 1, np.log(0.5))])  # first cut, logs of the gaps
+    free = np.concatenate([[-np.log(rate[0] / (1 - rate[0]))], np.full(k - 1, np.log(0.5))])
     m, v = np.zeros(width + k), np.zeros(width + k)
     for step in range(1, STEPS + 1):
-        score = sums(value * w[index], offsets)
-        cuts = free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
-        p = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - cuts), np.zeros((n, 1))], axis=1)
-        own = np.maximum(p[np.arange(n), grade] - p[np.arange(n), grade + 1], 1e-9)
-        d = p * (1 - p)  # slopes of the cumulative probabilities
-        to_score = (d[np.arange(n), grade] - d[np.arange(n), grade + 1]) / own
-        to_cut = np.zeros((n, k))
-        low, high = grade > 0, grade < k
-        to_cut[np.flatnonzero(low), grade[low] - 1] -= (d[np.arange(n), grade] / own)[low]
-        to_cut[np.flatnonzero(high), grade[high]] += (d[np.arange(n), grade + 1] / own)[high]
-        g_cut = to_cut.sum(axis=0)
-        g_free = np.concatenate([[g_cut.sum()], np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(free[1:])])
-        g = -np.concatenate([np.bincount(index, value * to_score[row], width), g_free]) / n
+        g = np.concatenate(ordinal_loss(offsets, index, value, grade, w, free)[1:])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         w -= move[:width]
         free -= move[width:]
         scale = RATE / (np.sqrt(v[:width] / (1 - 0.999**step)) + 1e-6)
         w = np.sign(w) * np.maximum(np.abs(w) - scale * L1, 0)
-    return Severity(w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))]))
+    return Severity(w, cuts_of(free))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Severity:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Severity:
+    """``train`` is a condition on labels.doc_id: rows it does not admit are never looked at."""
     ready(docs.sparkSession)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     sample = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+        (known if train is None else known.where(train))
         .groupBy(F.col("doc_id").alias("__id")).agg((F.max("toxic") > 0).alias("__toxic"))
         .orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__toxic").alias("__toxic"))  # an id may be on many rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity:
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     row = np.repeat(np.arange(len(got)), lengths)
     seen = [np.bincount(index[toxic[row] == x], minlength=BUCKETS) for x in (False, True)]
-    used = seen[0] + seen[1] >= LEAST_ROWS
+    used = seen[0] + seen[1] >= max(2, LEAST_SHARE * len(got))
     odds = np.log((seen[1] + 0.5) / (toxic.sum() + 1)) - np.log((seen[0] + 0.5) / ((~toxic).sum() + 1))
     hits = sums(np.where(used & (odds >= MARKER_LOG_ODDS), 1.0, 0.0)[index] * np.expm1(value), offsets)
     grade = np.where(toxic, 1 + sum((hits >= c).astype(int) for c in GRADE_CUTS), 0)
@@ -136,23 +150,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Severity:
     return Severity(w, fitted.cuts)
 
 
+NEW = "severity double, p_toxic double, grade int, toxic boolean"
+
+
 def score(docs: DataFrame, model: Severity, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Columns ``keep``, then severity double (0 to 3), p_toxic double, grade int (the likeliest), toxic boolean."""
-    new = ["severity", "p_toxic", "grade", "toxic"]
-    keep = [c for c in docs.columns if c not in new] if keep is None else keep
-    spark = ready(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS numbers
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["severity double, p_toxic double, grade int, toxic boolean"])
-    rows = docs.select(*keep, docs[text].alias("__text"))
+    ready(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         w, cuts = sent.value
-        for batch in batches:
-            got = [sums(value * w[index], offsets) for offsets, index, value in features(batch.column(len(keep)))]
+
+        def run(col: pa.Array) -> list[pa.Array]:
+            got = [sums(value * w[index], offsets) for offsets, index, value in features(col)]
             x = np.concatenate(got) if got else np.zeros(0)
             above = sigmoid(x[:, None] - cuts)
             each = np.concatenate([np.ones((len(x), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(x), 1))], axis=1)
-            cols = [above.sum(axis=1), above[:, 0], each.argmax(axis=1).astype(np.int32), above[:, 0] >= REJECT]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, cols)], [*keep, *new])
+            return [pa.array(c) for c in (above.sum(axis=1), above[:, 0], each.argmax(axis=1).astype(np.int32), above[:, 0] >= REJECT)]
+
+        return run
 
-    return rows.mapInArrow(run, schema)
+    return by_rows(docs, others(docs, NEW) if keep is None else keep, [named(text)], NEW, make)

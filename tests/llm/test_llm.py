@@ -449,6 +449,22 @@ def test_shards(spark, docs, tmp_path, odd):
     assert sorted((r.doc_id, r.text or "") for r in other.read().collect()) == sorted((i, t or "") for i, t in ODD)
 
 
+def test_shards_of_any_number_take_few_jobs(spark, tmp_path):
+    """2,000 small shards: the number of jobs is that of tiers climbed; versions before the last list are followed."""
+    store = ShardStore(spark, f"file://{tmp_path}/s", spark.range(0).schema, target_bytes=1 << 20)
+    store.append(spark.range(20_000).repartition(2000))
+    for k in range(20):
+        store.append(spark.range(20_000 + k, 20_001 + k).coalesce(1))
+    assert store.manifest()["version"] == 21 and store._numbers("w") == [16] and len(store.manifest(15)["shards"]) == 2014
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    last = store.compact()
+    assert last["version"] - 21 <= 3 and len(last["shards"]) < store.fanout and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert store.read().distinct().count() == store.read().count() == store.read(21).count() == 20_020
+    assert store.vacuum() >= 2020 and store.versions() == [last["version"]] and store.read().count() == 20_020
+    store.append(spark.range(5))
+    assert store.read().count() == 20_025 and store.vacuum(2) == 0 and len(store.versions()) == 2
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 
