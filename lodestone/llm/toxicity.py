@@ -34,9 +34,12 @@ BUCKETS = 1 << BITS
 FIT_ROWS = 8_000
 GRADE_CUTS = (3, 6)
 MARKER_LOG_ODDS = 3.0
-#: A word enters the model if this share of the fitting rows holds it, and two rows at least; the L1 penalty does the rest.
-LEAST_SHARE = 0.001
-L1, STEPS, RATE = 2e-4, 150, 0.1
+#: Words of fewer rows never enter the model.
+LEAST_ROWS = 2
+#: The L1 penalty, in rows: a word enters only if its rows together say more than so many. The words that enter are
+#: then fitted again with the smaller penalty, which shrinks their weights less.
+PENALTY, REFIT_PENALTY = 2.0, 0.3
+STEPS, RATE = 150, 0.1
 #: Rejected from here on: P(grade >= 1).
 REJECT = 0.5
 
@@ -88,7 +91,7 @@ def ordinal_loss(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, grad
     return -np.log(own).mean(), -np.bincount(index, value * to_score[row], len(w)) / n, -g_free / n
 
 
-def fit_ordinal(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, levels: int, width: int) -> Severity:
+def fit_ordinal(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, levels: int, width: int, penalty: float = REFIT_PENALTY) -> Severity:
     """Maximum likelihood with an L1 penalty on the weights, by proximal Adam steps over all rows."""
     k = levels - 1
     rate = np.clip((grade[:, None] > np.arange(k)[None]).mean(axis=0), 1e-3, 1 - 1e-3)
@@ -102,7 +105,7 @@ def fit_ordinal(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, grade
         w -= move[:width]
         free -= move[width:]
         scale = RATE / (np.sqrt(v[:width] / (1 - 0.999**step)) + 1e-6)
-        w = np.sign(w) * np.maximum(np.abs(w) - scale * L1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - scale * penalty / len(grade), 0)
     return Severity(w, cuts_of(free))
 
 
@@ -128,25 +131,30 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Seve
                 at += n
 
     got = rows.select("text", "__toxic").mapInArrow(run, "toxic boolean, index array<int>, value array<float>").toPandas()
-    toxic = got["toxic"].to_numpy(bool)
+    lengths = np.array([len(x) for x in got["index"]], np.int64)
+    index, value = (np.concatenate([np.zeros(0), *got[c]]) for c in ("index", "value"))
+    return train_severity(np.concatenate([[0], np.cumsum(lengths)]), index.astype(np.int64), value, got["toxic"].to_numpy(bool))
+
+
+def train_severity(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> Severity:
+    """The model from the sparse features of the rows of a sample, and whether they are toxic."""
     if not toxic.any() or toxic.all():
         return Severity(np.zeros(BUCKETS), np.full(len(GRADE_CUTS) + 1, 35.0))
-    lengths = np.array([len(x) for x in got["index"]])
-    index, value = np.concatenate(list(got["index"])).astype(np.int64), np.concatenate(list(got["value"])).astype(np.float64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    row = np.repeat(np.arange(len(got)), lengths)
+    row = np.repeat(np.arange(len(toxic)), np.diff(offsets))
     seen = [np.bincount(index[toxic[row] == x], minlength=BUCKETS) for x in (False, True)]
-    used = seen[0] + seen[1] >= max(2, LEAST_SHARE * len(got))
+    used = seen[0] + seen[1] >= LEAST_ROWS
     odds = np.log((seen[1] + 0.5) / (toxic.sum() + 1)) - np.log((seen[0] + 0.5) / ((~toxic).sum() + 1))
     hits = sums(np.where(used & (odds >= MARKER_LOG_ODDS), 1.0, 0.0)[index] * np.expm1(value), offsets)
     grade = np.where(toxic, 1 + sum((hits >= c).astype(int) for c in GRADE_CUTS), 0)
-    kept = used[index]
-    columns = np.flatnonzero(used)
-    place = np.zeros(BUCKETS, np.int64)
-    place[columns] = np.arange(len(columns))
-    fitted = fit_ordinal(np.concatenate([[0], np.cumsum(kept)])[offsets], place[index[kept]], value[kept], grade, len(GRADE_CUTS) + 2, len(columns))
     w = np.zeros(BUCKETS)
-    w[columns] = fitted.weights
+    for penalty in (PENALTY, REFIT_PENALTY):
+        columns, kept = np.flatnonzero(used), used[index]
+        place = np.zeros(BUCKETS, np.int64)
+        place[columns] = np.arange(len(columns))
+        fitted = fit_ordinal(np.concatenate([[0], np.cumsum(kept)])[offsets], place[index[kept]], value[kept], grade, len(GRADE_CUTS) + 2, len(columns), penalty)
+        w[:] = 0
+        w[columns] = fitted.weights
+        used = w != 0
     return Severity(w, fitted.cuts)
 
 

@@ -385,6 +385,169 @@ def test_language(spark, docs, odd):
     assert nothing.names == [] and language.identify(odd, nothing, F.col("text")).where("rejected").count() == len(ODD)
 
 
+def test_pooling_and_word_vectors_against_a_dictionary(spark):
+    texts = ["The cat sat. The CAT sat sat!", "a b a b", "", None, "x " * 300, "one"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    plus, minus = quality._index_vectors()
+    lists = [w[offsets[i] : offsets[i + 1]].tolist() for offsets, w in quality._words(pa.array(texts, pa.string())) for i in range(len(offsets) - 1)]
+    sums = {}
+    for words_ in lists:
+        for i, x in enumerate(words_):
+            v = sums.setdefault(x, np.zeros(quality.DIM))
+            for j in range(max(0, i - quality.REACH), min(len(words_), i + quality.REACH + 1)):
+                if j != i:
+                    v[plus[words_[j]]] += 1
+                    v[minus[words_[j]]] -= 1
+    got = quality.word_vectors(docs)
+    for b in range(0, quality.BUCKETS, 97):
+        sums.setdefault(b, np.zeros(quality.DIM))
+    for b, v in sums.items():
+        v = v / max(np.linalg.norm(v), 1e-9)
+        v[plus[b]] += 1
+        v[minus[b]] -= 1
+        assert got[b] == pytest.approx(v, abs=1e-5)
+    for own, row in zip(lists, quality.pool(pa.array(texts, pa.string()), got), strict=True):
+        mean = np.mean([got[x] for x in own], axis=0, dtype=float) if own else np.zeros(quality.DIM)
+        assert row == pytest.approx([*mean, np.linalg.norm(mean), math.log1p(len(own))], abs=1e-9)
+
+
+def test_ordinal_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(4)
+    offsets = np.concatenate([[0], np.cumsum(rng.integers(0, 5, 30))])
+    index, value, grade = rng.integers(0, 6, offsets[-1]), rng.random(offsets[-1]), rng.integers(0, 4, 30)
+    w, free = rng.normal(size=6), rng.normal(size=3) / 2
+    _, gw, gf = toxicity.ordinal_loss(offsets, index, value, grade, w, free)
+    loss = lambda w, free: toxicity.ordinal_loss(offsets, index, value, grade, w, free)[0]
+    for x, g, at in ((w, gw, 0), (free, gf, 1)):
+        for k in range(len(x)):
+            step = np.eye(len(x))[k] * 1e-6
+            near = [loss(x + s, free) if at == 0 else loss(w, x + s) for s in (step, -step)]
+            assert (near[0] - near[1]) / 2e-6 == pytest.approx(g[k], abs=1e-6)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.expr("crc32(cast(doc_id as string)) % 3 = 0")
+    model = toxicity.fit(docs, labels, train=~held)
+    rows = toxicity.score(docs, model, ["doc_id"]).withColumnRenamed("toxic", "said").join(labels.where(held), "doc_id").collect()
+    toxic, fine = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
+    print(f"held-out toxic rows found {sum(r.said for r in toxic)} of {len(toxic)}, others rejected {sum(r.said for r in fine)} of {len(fine)}")
+    assert len(toxic) > 100 and sum(r.said for r in toxic) >= 0.8 * len(toxic) and sum(r.said for r in fine) <= 0.005 * len(fine)
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    got = language.identify(docs.where("doc_id % 2 = 1"), model, F.col("text"), host=F.col("source")).collect()
+    assert sum(r.language == r.lang for r in got) / len(got) > 0.97
+
+
+def test_host_priors_against_a_dictionary(spark):
+    names, n = ["a", "b", "c"], 3
+    rows = [("d1", "h1", [0.0, -1.0, -2.0], 5)] * 7 + [("d1", "h2", [-1.0, 0.0, -2.0], 2)] * 3 + [("d2", "h1", [-3.0, -2.0, 0.0], 9)] + [("", "", [0.0, 0.0, 0.0], 0)] * 4
+    model = language.Languages(names, np.zeros((1, n), np.float32))
+    got = {(r.domain, r.host): (r.rows, r.prior) for r in language.host_priors(spark.createDataFrame(rows, "domain string, host string, ll array<double>, n bigint"), model).collect()}
+    counts, domains, total, sizes = {}, {}, [0.0] * n, Counter()
+    for d, h, ll, k in rows:
+        sizes[d, h] += 1
+        for table in (counts.setdefault((d, h), [0.0] * n), domains.setdefault(d, [0.0] * n), total):
+            if k:
+                table[ll.index(max(ll))] += 1
+    share = lambda c, p: [(x + language.STRENGTH * q) / (sum(c) + language.STRENGTH) for x, q in zip(c, p, strict=True)]
+    top = [(x + 1) / (sum(total) + n) for x in total]
+    assert set(got) == set(counts)
+    for (d, h), c in counts.items():
+        assert got[d, h][0] == sizes[d, h] and got[d, h][1] == pytest.approx(share(c, share(domains[d], top)))
+
+
+def test_repeated_rows_do_not_reach_the_driver(spark, docs, labels, monkeypatch):
+    """One labelled doc_id on 20,000 rows, with as many labels: fits gather one row of it, and learn what they learned."""
+    one = labels.where("toxic = 0").orderBy("doc_id").limit(1)
+    many = docs.union(docs.join(one.select("doc_id"), "doc_id").select(*docs.columns).crossJoin(spark.range(20_000)).select(*docs.columns))
+    gathered = []
+    frame = type(docs)
+    old = frame.toPandas
+    monkeypatch.setattr(frame, "toPandas", lambda self: (got := old(self), gathered.append(len(got)))[0])
+    more = labels.union(one.crossJoin(spark.range(20_000)).select(*labels.columns))
+    assert (toxicity.fit(many, more).weights == toxicity.fit(docs, labels).weights).all()
+    assert max(gathered) <= labels.count()
+    gathered.clear()
+    a = quality.fit(many, more)
+    assert len(gathered) == 2 and gathered[1] <= labels.count() and len(a.network.b1) == quality.HIDDEN
+    lang = [language.fit(x) for x in (many, docs)]
+    assert lang[0].names == lang[1].names and (lang[0].table == lang[1].table).all()
+
+
+def test_rare_languages_are_learned(spark, docs):
+    rare = spark.createDataFrame([(10**6 + i, "zumtaz gobbel wuxi flarn quib " * 5, "xx", "s", 1) for i in range(3)], docs.schema)
+    model = language.fit(docs.union(rare))
+    assert model.names == ["de", "en", "es", "fr", "xx"]
+    got = language.identify(rare, model, F.col("text")).collect()
+    assert {r.language for r in got} == {"xx"}
+
+
+INNER = "text doc_id k0 k1 k2 i0 c0 c1 n ll domain host markup address prior e w known top rows __text __id __y __toxic __host d0 label node t score severity p_toxic grade toxic language confidence rejected ids n_pieces n_bytes roundtrip n_tokens feature fingerprints media row lang source n_chars"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """Documents with all names that operators use inside or give to results."""
+    extra = [c for c in dict.fromkeys(INNER.split()) if c not in docs.columns]
+    return docs.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in extra)).where("doc_id < 40")
+
+
+def same(rows, columns):
+    return all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in columns)
+
+
+def test_no_name_clashes(spark, docs, labels, clashing, tmp_path):
+    own = [c for c in clashing.columns if c not in docs.columns]
+    n = clashing.count()
+    toxic, good, lang = toxicity.fit(clashing, labels), quality.fit(clashing, labels), language.fit(clashing)
+    for run, new in (
+        (lambda d, keep=None: toxicity.score(d, toxic, keep), toxicity.NEW), (lambda d, keep=None: quality.score(d, good, keep), "score double"),
+        (lambda d, keep=None: language.identify(d, lang, F.col("text"), host=F.col("source"), keep=keep), language.NEW), (lambda d, keep=None: media.media_columns(d, keep), "feature string, fingerprints array<bigint>, media binary, n_bytes bigint"),
+        (lambda d, keep=None: sentencepiece_codec.encode(d, keep), sentencepiece_codec.NEW), (lambda d, keep=None: token_counts.count_tokens(d, keep), token_counts.NEW),
+    ):
+        out = {x.split()[0] for x in new.split(", ")}
+        rows = run(clashing).collect()
+        assert len(rows) == n and same(rows, [c for c in own if c not in out])
+        plain = {r.doc_id: r for r in run(docs.where("doc_id < 40"), ["doc_id"]).collect()}
+        assert all(r[c] == plain[r.doc_id][c] for r in rows for c in out)
+        assert run(clashing.limit(0)).collect() == []
+    assert sorted(map(tuple, bagminhash.classes(clashing).collect())) == sorted(map(tuple, bagminhash.classes(docs.where("doc_id < 40")).collect()))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("hash", F.lit("x")).withColumn("slots", F.lit(1))
+    for kept in (bagminhash.keep_one(clashing), decontam.drop_contaminated(clashing, bench)):
+        rows = kept.collect()
+        assert kept.columns == clashing.columns and 0 < len(rows) <= n and same(rows, own)
+    store = ShardStore(spark, f"file://{tmp_path}/s", clashing.withColumn("arrival", F.lit(1)).withColumn("a.b", F.lit(2)).schema)
+    store.append(clashing.withColumn("arrival", F.lit(1)).withColumn("a.b", F.lit(2)), arrival=F.expr("doc_id % 2"))
+    assert same(store.read().collect(), own) and store.read().count() == n
+
+
+def test_long_texts(spark):
+    """Texts of more than a megabyte, one of them without a space, through every operator."""
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(250_000))
+    rows = [(1, long), (2, "x" * 1_200_000), (3, long + " end"), (4, "漢" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert all(len(t.encode()) > 1 << 20 for _, t in rows)
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    words_ = long.split()
+    assert _leaks(spark, [" ".join(words_[200_000:200_030])], [t for _, t in rows]) == {(0, 0): False, (2, 0): False}
+    enc = {r.doc_id: r for r in sentencepiece_codec.encode(df.where("doc_id <> 2"), ["doc_id"]).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df.where("doc_id <> 2"), ["doc_id"]).collect()}
+    assert all(r.roundtrip and r.n_pieces == counts[i] > 0 for i, r in enc.items()) and len(enc) == 3
+    for r in media.media_columns(df, ["doc_id", "text"], with_media=False).collect():
+        assert r.payload_sha256 == hashlib.sha256(media.payload(r.text)).hexdigest()
+    model = language.Languages(["a", "b"], np.tile(np.log([0.25, 0.75]).astype(np.float32), (1 << language.BITS, 1)))
+    assert {r.language for r in language.identify(df, model, F.col("text")).collect()} == {"b"}
+    assert toxicity.score(df, toxicity.Severity(np.zeros(toxicity.BUCKETS), np.full(3, 35.0)), ["doc_id"]).where("toxic").count() == 0
+    chats = df.selectExpr("doc_id conv_id", "0L turn", "'assistant' role", "substr(text, 1, 300000) text")
+    assert {r.loss_chars for r in chat.formatted(chats).collect()} == {300_000}
+
+
 # -- chat, media, shards --------------------------------------------------------------------------
 
 
@@ -428,6 +591,44 @@ def test_media(odd):
     assert any(abs(m.argmax() - 50) <= 1 for block in media.spectra(tone) for m in block)
 
 
+def brute_fingerprints(data):
+    """Peaks of each band over time, and pairs of each with the next three, frame by frame."""
+    x = np.frombuffer(data, np.uint8).astype(float) - 128
+    n, hop = media.FRAME, media.HOP
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    frames = [np.abs(np.fft.rfft(x[a : a + n] * window)) for a in range(0, len(x) - n + 1, hop)]
+    tops = [[max(range(a, b), key=lambda k: (m[k], -k)) for a, b in zip(media.BANDS, media.BANDS[1:])] for m in frames]
+    power = lambda t, band: frames[t][tops[t][band]] if 0 <= t < len(frames) else 0.0
+    peaks = [(t, tops[t][band]) for t in range(len(frames)) for band in range(len(media.BANDS) - 1) if power(t, band) > power(t - 1, band) and power(t, band) >= power(t + 1, band)]
+    pairs = [(p, q) for i, p in enumerate(peaks) for q in peaks[i + 1 : i + 1 + media.PARTNERS] if q[0] - p[0] <= media.REACH]
+    return sorted(p[0] << 32 | p[1] << 20 | q[1] << 8 | q[0] - p[0] for p, q in pairs)
+
+
+def test_media_fingerprints_against_brute_force(spark):
+    sf = spark.read.parquet(f"{SF}/documents.parquet").limit(25)
+    for r in media.media_columns(sf, ["text"], with_media=False).collect():
+        assert r.fingerprints == brute_fingerprints(media.payload(r.text))
+        frames, pairs, digest = r.feature.split(":")[1:]
+        assert (int(frames), int(pairs)) == (1 + (r.payload_bytes - 576) // 288, len(r.fingerprints))
+        assert digest == hashlib.sha256(np.array(r.fingerprints, "<i8").tobytes()).hexdigest()[:32]
+
+
+def test_op8_on_all_conversations_and_its_own(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    control = "</s>[INST] ok [/INST]"
+    rows += [(-7, 0, "user", control), (-7, 1, "assistant", control)]
+    got = {r.conv_id: r for r in queries.op8_chat(spark, SF).collect()}
+    by = {}
+    for c, t, ro, x in rows:
+        by.setdefault(c, []).append((t, ro or "", x or ""))
+    assert set(got) == set(by) and got[-7].n_turns == 2 and got[-7].loss_chars == len(control)
+    for c, turns in by.items():
+        learned = "".join(x for _, ro, x in sorted(turns) if ro == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{ro}\n{x}\n" for _, ro, x in sorted(turns)).encode()).hexdigest()
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert got[c].formatted_chars >= sum(len(ro) + len(x) for _, ro, x in turns) + 3 * len(turns)
+
+
 def test_shards(spark, docs, tmp_path, odd):
     store = ShardStore(spark, f"file://{tmp_path}/s", docs.schema, target_bytes=100_000)
     assert store.read().count() == 0
@@ -468,6 +669,51 @@ def test_shards_of_any_number_take_few_jobs(spark, tmp_path):
 # -- pipeline -------------------------------------------------------------------------------------
 
 
+def brute_pipeline(spark, docs, labels):
+    """The rows that are left, by plain Python from each operator's decisions on single texts and brute-force classes."""
+    model = toxicity.fit(docs, labels)
+    kept = {r.doc_id for r in toxicity.score(docs, model, ["doc_id"]).where("p_toxic < 0.5").collect()}
+    rows = [r for r in docs.collect() if r.doc_id in kept]
+    now = spark.createDataFrame(rows, docs.schema)
+    fine = {r.doc_id for r in language.identify(now, language.fit(now), F.col("text"), host=F.col("source")).where("confidence >= 0.5").collect()}
+    rows = [(r.doc_id, r.text) for r in rows if r.doc_id in fine]
+    label = brute_classes(rows)
+    rows = [(i, t) for i, t in rows if label[i] == i]
+    bench = [plain_words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    spans = {tuple(w.lower() for w in b[k : k + 13]) for b in bench for k in range(len(b) - 12)}
+    return {i for i, t in rows if not any(tuple(x.lower() for x in w[k : k + 13]) in spans for w in [plain_words(t)] for k in range(len(w) - 12))}
+
+
+def test_pipeline_against_brute_force(spark, docs, labels):
+    import corpus_pipeline
+
+    from lodestone import scratch
+
+    before = scratch.made()
+    got = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in got.select("doc_id").collect()} == brute_pipeline(spark, docs, labels)
+    assert scratch.made() - before < 20
+    release = scratch.release
+    release(spark)
+    assert got.count() > 0
+
+
+def test_stages_leave_columns_alone(spark, docs, labels, clashing):
+    import corpus_pipeline
+
+    own = [c for c in clashing.columns if c not in docs.columns]
+    odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (None, "word " * 9, "en", "s", 1), (3, "other words here", "en", None, 1)], docs.schema)
+    rows = clashing.unionByName(odd, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF)
+        got = out.where("doc_id < 40").collect()
+        assert out.columns[: len(rows.columns)] == rows.columns and 0 < len(got) <= rows.count(), name
+        assert same([r for r in got if r.feature is not None], own), name
+        assert (out.columns == rows.columns) == (name != "sentencepiece")
+        assert stage(spark, rows.limit(0), SF).count() == 0
+    assert out.columns[len(rows.columns) :] == ["ids_", "n_pieces_", "n_bytes_", "roundtrip_"]
+
+
 def test_pipeline(spark, docs, labels):
     import corpus_pipeline
 
