@@ -10,7 +10,7 @@ one shingle); documents with at least SIMILARITY are linked, and a class is what
    identity of the earliest point: two documents agree on it with probability equal to their similarity.
    Processes stop at the time by which all components of the document have a point.
 2. Identical multisets collapse first, by a 128-bit content key (map-side combined), into one text, which gets a
-   number of its own; doc_ids play no part in what follows until classes are named.
+   number of its own, in the order of the smallest doc_ids.
 3. Bands. ROWS components make a band key; BANDS of them catch a pair at the threshold but for
    (1 - 0.8^4)^20 = 3e-5, and more similar ones still more surely.
 4. Links. First each bucket offers its smallest member, the hub, to all others: one pair a member, distinct
@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import by_rows, discard, join_counted, named, ready, sized, written
 from lodestone.llm.words import mix, raw, tokens, windows
+from lodestone.scratch import numbered
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -204,16 +205,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets reach the similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_sets(docs, texts.select("node", "doc", "k1", "k2").join(sized(ids), "node")), "sets")
-    small = F.least("size_a", "size_b") >= F.lit(SIMILARITY) * F.greatest("size_a", "size_b")  # else they cannot be similar
-    sizes = sets.select("id", "size")
-    likely = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(small).select("a", "b")
-    both = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                    ok.append(False)
+                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -225,23 +226,44 @@ def _linked(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     return got
 
 
+def _rooted(up: DataFrame) -> DataFrame:
+    """(node, parent, ..) with the parent's parent, and so on, as parent: pointer jumping, in as many steps as the depth has bits."""
+    while True:
+        heads = up.groupBy("parent").agg(F.count("*").alias("rows")).join(up.select(F.col("node").alias("parent"), F.col("parent").alias("its")), "parent")
+        step = written(join_counted(up, heads, ["parent"], "rows").select("node", "na", "nb", F.col("its").alias("parent"), (F.col("its") != F.col("parent")).alias("moved")), "up")
+        moved = not step.where("moved").isEmpty()
+        discard(up)
+        up = step.drop("moved")
+        if not moved:
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): for each node of a link the smallest node that links connect it to."""
-    ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "ways")
-    labels = written(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("n")), "labels")
+    """(node, label): for each node of a link the smallest node that links connect it to.
+
+    Each round takes every node to the end of the chain of its smallest neighbours and keeps of the links only those
+    between such ends, so that a round has at most half the nodes of the one before and a star is done at once.
+    """
+    edges, rounds = written(links.select("a", "b").where("a <> b").distinct(), "edges"), []
     while True:
-        heard = join_counted(ways, labels.select(F.col("node").alias("b"), "label", "n"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        low = written(labels.join(heard, "node").select("node", "n", "label", F.least("label", "heard").alias("low")), "low")
-        far = labels.select(F.col("node").alias("low"), F.col("label").alias("its"))
-        jump = low.groupBy("low").agg(F.count("*").alias("rows")).join(far, "low")
-        step = written(join_counted(low, jump, ["low"], "rows").select("node", "n", "label", F.least("low", "its").alias("new")), "labels")
-        changed = not step.where("new < label").isEmpty()
-        discard(labels)
-        discard(low)
-        labels = step.select("node", F.col("new").alias("label"), "n")
-        if not changed:
-            discard(ways)
-            return labels.select("node", "label")
+        one, none = F.lit(1), F.lit(0)
+        ways = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), one.alias("na"), none.alias("nb"))
+        ways = ways.union(edges.select(F.col("b"), F.col("a"), none, one))
+        up = ways.groupBy("node").agg(F.least("node", F.min("other")).alias("parent"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+        rounds.append(up := _rooted(written(up, "up")))
+        a = up.where("na > 0").select(F.col("node").alias("a"), F.col("parent").alias("x"), "na")
+        b = up.where("nb > 0").select(F.col("node").alias("b"), F.col("parent").alias("y"), "nb")
+        left = join_counted(join_counted(edges, a, ["a"], "na"), b, ["b"], "nb").where("x <> y")
+        left = written(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = left
+        if edges.isEmpty():
+            break
+    labels = rounds[0].select("node", F.col("parent").alias("label"))
+    for up in rounds[1:]:
+        ends = labels.groupBy("label").agg(F.count("*").alias("rows")).join(up.select(F.col("node").alias("label"), F.col("parent").alias("its")), "label", "left")
+        labels = join_counted(labels, ends, ["label"], "rows").select("node", F.coalesce("its", "label").alias("label"))
+    return labels
 
 
 def _forest(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,9 +319,13 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables in the shared folder: (doc_id, k1, k2) of each row with a doc_id, and of each content key
     (k1, k2, n rows, class_id, keeper: the doc_id that stands for the class if it is with this text, else null)."""
     signed = written(signatures(docs), "signed")
-    # one text for each content key, the bands of which are the same in all its rows; its number is fixed by writing it
-    texts = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    # one text for each content key, the bands of which are the same in all its rows
+    texts = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
+    # texts are numbered in the order of their doc_ids: by these themselves, unless several texts have the same one
+    if texts.groupBy("doc").count().where("count > 1").isEmpty():
+        texts = texts.withColumn("node", F.col("doc"))
+    else:
+        texts = written(numbered(texts.orderBy("doc", "k1", "k2"), "node"), "texts")
     buckets = texts.where("bands is not null").select(F.explode("bands").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
     live = written(buckets.join(shared.select("key", "hub", "n"), "key"), "live")

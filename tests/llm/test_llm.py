@@ -223,6 +223,30 @@ def test_hot_keys_take_the_other_join(spark, monkeypatch):
     assert sorted(r.doc_id for r in bagminhash.keep_one(docs).collect()) == [0, *range(200, 209)]
 
 
+def test_components_of_paths_stars_and_random_links(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    rng = random.Random(12)
+    links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(250 - i, 251 - i) for i in range(40)] + [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(45)]
+    order = rng.sample(range(400, 460), 60)
+    links += list(zip(order, order[1:], strict=False)) + [(5, 5)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    want = {x: top(x) for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.label for r in bagminhash.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == want
+    assert bagminhash.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
 def test_recall_of_all_similar_pairs(spark):
     """Every pair of sf0.01 at 0.8 or more, found by an exact join on shared shingles, is in one class."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
