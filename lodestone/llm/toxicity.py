@@ -130,10 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Seve
                 yield pa.RecordBatch.from_arrays([toxic.slice(at, n), *lists], ["toxic", "index", "value"])
                 at += n
 
-    got = rows.select("text", "__toxic").mapInArrow(run, "toxic boolean, index array<int>, value array<float>").toPandas()
-    lengths = np.array([len(x) for x in got["index"]], np.int64)
-    index, value = (np.concatenate([np.zeros(0), *got[c]]) for c in ("index", "value"))
-    return train_severity(np.concatenate([[0], np.cumsum(lengths)]), index.astype(np.int64), value, got["toxic"].to_numpy(bool))
+    got = rows.select("text", "__toxic").mapInArrow(run, "toxic boolean, index array<int>, value array<float>").toArrow()
+    toxic, index, value = (got.column(c).combine_chunks() for c in ("toxic", "index", "value"))
+    lengths = index.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return train_severity(np.concatenate([[0], np.cumsum(lengths)]), index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(np.float64), toxic.to_numpy(zero_copy_only=False).astype(bool))
 
 
 def train_severity(offsets: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> Severity:
