@@ -690,6 +690,22 @@ def test_shards_of_any_number_take_few_jobs(spark, tmp_path):
     assert store.read().count() == 20_025 and store.vacuum(2) == 0 and len(store.versions()) == 2
 
 
+def test_shards_where_packing_cannot_be_set(spark, docs, tmp_path, monkeypatch):
+    """The session keeps its small scan partitions: compaction still ends, with files near the target."""
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    monkeypatch.setattr(type(spark.conf), "set", lambda *_: None)
+    try:
+        store = ShardStore(spark, f"file://{tmp_path}/s", docs.schema, target_bytes=200_000, fanout=2)
+        store.append(docs.repartition(30))
+        last = store.compact()
+    finally:
+        monkeypatch.undo()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    total = sum(x["bytes"] for x in last["shards"])
+    assert last["version"] <= 8 and len(last["shards"]) <= 2 + 1.5 * total / 200_000 and docs.exceptAll(store.read()).isEmpty() and store.read().count() == docs.count()
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 
