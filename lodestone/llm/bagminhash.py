@@ -160,7 +160,7 @@ def _keyed(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
                 pad = np.zeros(-(-len(text) // 8) * 8, np.uint8)
                 pad[: len(text)] = text
                 w = mix(pad.view(np.uint64) + (np.arange(len(pad) // 8, dtype=np.uint64) + np.uint64(len(text))) * _G)
-                key[i] = mix(w.sum(dtype=np.uint64)), mix((w * w).sum(dtype=np.uint64))
+                key[i] = mix(np.array([w.sum(dtype=np.uint64), (w * w).sum(dtype=np.uint64)]))
             else:
                 key[i] = np.array([own[i], -1]).astype(np.int64).view(np.uint64)
         yield first, n, np.ascontiguousarray(key.T).view(np.int64), bare, row, element, count

@@ -95,10 +95,13 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
 def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Inner join of many rows with one narrow row for each key, whose column ``count`` says how many rows have that key.
 
-    Hot keys, HOT_KEYS at most, are broadcast; the others shuffle and none of them has many rows. ``count`` is left out.
+    A side of BROADCAST_ROWS at most is broadcast. Of a larger one the hot keys, HOT_KEYS at most, are; the others
+    shuffle and none of them has many rows. ``count`` is left out.
     """
-    total = side.agg(F.sum(count)).first()[0] or 0
-    hot = max(HOT, -(-total // HOT_KEYS))
+    size = side.agg(F.count("*").alias("keys"), F.sum(count).alias("rows")).first()
+    if size["keys"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side.drop(count)), keys)
+    hot = max(HOT, -(-size["rows"] // HOT_KEYS))
     few, many = side.where(F.col(count) >= hot).drop(count), side.where(F.col(count) < hot).drop(count)
     a = rows.join(F.broadcast(few), keys)
     b = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys)

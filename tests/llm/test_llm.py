@@ -215,6 +215,7 @@ def test_hot_keys_take_the_other_join(spark, monkeypatch):
     from lodestone.llm import common
 
     monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join([*base[:99], f"x{i}"])) for i in range(40)] + [(200 + i, f"alone {i}") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -227,6 +228,7 @@ def test_components_of_paths_stars_and_random_links(spark, monkeypatch):
     from lodestone.llm import common
 
     monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     rng = random.Random(12)
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(250 - i, 251 - i) for i in range(40)] + [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(45)]
     order = rng.sample(range(400, 460), 60)
