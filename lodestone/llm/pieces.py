@@ -40,7 +40,7 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Scores of the unigram reading are multiples of 1 / STEP.
 STEP = 16
-CACHE = 400_000
+CACHE = 250_000
 #: Longer parts are segmented anew each time, so that the cache stays small.
 CACHED_CHARS = 64
 
