@@ -173,7 +173,7 @@ class _Line:
         groups: dict[int, list[tuple]] = defaultdict(list)
         for hit in hits:
             n, k, _, _, second, slots, values = hit
-            if k < WINDOW and k == n and len(slots) > n - (LEAST - 1) and slots != values:
+            if slots != values and (len(slots) == k or k == n and len(slots) > n - (LEAST - 1)):
                 continue
             groups[2 if LEAST <= k < min(WINDOW, n) else int(second)].append(hit)
         for rank, own in sorted(groups.items()):
@@ -187,7 +187,7 @@ class _Line:
                 self.tokens.update(range(at, at + k))
                 if rank < 2:
                     self.at.add(at)
-                    if k == WINDOW and (len(slots) < k or slots == values):
+                    if k == WINDOW:
                         self.solid.add(at)
             if rank < 2:
                 self.pairs = set(self.all_pairs)
@@ -244,7 +244,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = texts.mapInArrow(find, "doc_id bigint, t bigint, h bigint, pos bigint, values array<bigint>")
-    hits = found.join(sized(items), F.col("h") == F.col("hash"))
+    # of windows of slots only, which tables of numbers are full of, just those with the item's values are joined
+    hits = found.join(sized(items), (F.col("h") == F.col("hash")) & ((F.size("slots") < F.col("k")) | (F.col("slots") == F.col("values"))))
     key = ["doc_id", "t", "item_id", "stream"]
     hits = hits.select(*key, "n", "k", "at", "pos", "second", "slots", "values").dropDuplicates([*key, "k", "at", "pos", "second"])
     hits = hits.repartition(*key).sortWithinPartitions(*key)

@@ -314,6 +314,15 @@ def test_decontamination_of_copies_in_other_case(spark):
     assert [list(t.opens) for t in words.tokens(pa.array(["It is 3.5 Or so. Yes"]), context=True, numbers=True)] == [[True, False, False, False, False, True]]
 
 
+def test_decontamination_needs_the_values_of_slots_without_words(spark):
+    items = ["1 2 3 4 5 6 7 8", "What is 3 4 5 6 7 8 9 10 11 12 13 14 15"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = ["rows 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 end", "the table has 1 2 3 4 5 6 7 8 there", "20 21 22 23 24 25 26 27"]
+    texts += ["he asked what is 3 4 5 6 7 8 9 10 11 12 13 14 15 again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == {(1, 0), (3, 1)}
+
+
 def test_decontamination_keeps_rows_and_names_apart(spark):
     twelve = "The careful gardener Jones sold 12 kg of ripe apples and 30 boxes of pears to the old mill of the town"
     bench = spark.createDataFrame([(0, twelve)], "item_id bigint, text string")
