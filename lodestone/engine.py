@@ -26,8 +26,8 @@ from lodestone.schema import Schema
 from lodestone.scratch import made, numbered, release
 from lodestone.sources.storage import Parts, Storage
 
-#: An insert that would give a table more parts than this writes the table anew as one part.
-PARTS = 64
+#: An insert that would give a table more parts than this merges the small ones, into files of about FILE_BYTES.
+PARTS, FILE_BYTES = 64, 1 << 27
 
 
 class Select:
@@ -236,7 +236,7 @@ class Engine:
             got = rows.agg(F.count("*").alias("n"), F.max(SEQ).alias("s"), *([F.max(own).alias("a")] if own else [])).first()
             if got["n"]:
                 if len(parts) > PARTS:
-                    parts = (self.storage.write(self.name, table, whole.coalesce(max(1, len(parts) // 8))),)
+                    parts = self._merged(table, parts, draft)
                 db.counters[table] = got["s"]
                 if own and got["a"] is not None:  # like a sequence, not rolled back
                     db.following[table] = max(db.following[table], got["a"] + 1)
@@ -244,6 +244,22 @@ class Engine:
         release(self.spark, mark)
         return got["n"]
 
+    def _merged(self, table: str, parts: Parts, draft: _Draft) -> Parts:
+        """Half of the parts, the smaller ones, as one, with all that are no larger than what is merged by then.
+
+        So a row is written again only when its part at least doubles or most parts are larger, not with every PARTS inserts.
+        """
+        sizes = {p: self.storage.bytes(self.name, table, p) for p in parts}
+        small, total = [], 0
+        for p in sorted(parts, key=sizes.__getitem__):
+            if len(small) > PARTS // 2 and sizes[p] > total:
+                break
+            small.append(p)
+            total += sizes[p]
+        rows = self.storage.open(self.name, table, tuple(small), self.schema(table))
+        draft.keep(table, rows.coalesce(-(-total // FILE_BYTES) or 1))
+        return (*(p for p in parts if p not in small), draft.parts[table])
+
     def update(self, table: str, what: Update, condition: Conditions | None = None, limit: int = -1, begin: int = 0) -> int:
         """Change rows, all or none; how many were chosen."""
         schema, df, q, mark = self.schema(table), self.table(table), Query(condition, begin, limit), made()

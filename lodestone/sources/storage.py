@@ -50,6 +50,9 @@ class Storage:
             return self.spark.createDataFrame([], struct)
         return self.spark.read.schema(struct).parquet(*(f"{self._folder(database, table)}/{p}" for p in parts))
 
+    def bytes(self, database: str, table: str, part: str) -> int:
+        return self._fs.getContentSummary(self._at(f"{self._folder(database, table)}/{part}")).getLength()
+
     def forget(self, database: str, table: str, part: str) -> None:
         self._fs.delete(self._at(f"{self._folder(database, table)}/{part}"), True)
 

@@ -438,6 +438,22 @@ def test_many_small_inserts_are_one_part_again(spark, monkeypatch):
     assert e.size("people") == 8
 
 
+def test_a_large_part_is_not_written_again_for_small_inserts(spark, monkeypatch):
+    from lodestone import engine
+
+    monkeypatch.setattr(engine, "PARTS", 3)
+    e = Engine(spark).add_database("main")
+    e.create_table("people", Schema().column("id", "LONG", primary=True), spark.range(100_000).toDF("id"))
+    (large,) = e._parts("people")
+    for k in range(8):
+        e.insert("people", {"id": 100_000 + k})
+        assert large in e._parts("people") and len(e._parts("people")) <= 3
+    assert e.size("people") == 100_008
+    assert [r.id for r in e.select("id").from_("people").where(where("id").is_bigger_or_equal(100_000)).fetch()] == list(range(100_000, 100_008))
+    folder = e.storage._fs.listStatus(e.storage._at(e.storage._folder("main", "people")))
+    assert {*e._parts("people")} <= {x.getPath().getName() for x in folder}
+
+
 def test_databases(spark, tmp_path):
     at, one = f"file://{tmp_path}", Schema().column("id", "INT", primary=True)
     e = Engine(spark, at).add_database("a").add_database("b")
